@@ -1,6 +1,8 @@
 """The registered queries of this subpackage and their SQL."""
 
+from .quality_rules import op5_quality_rules
 from .substring_dedup import op3_substring_dedup
+from .suffix_dedup import op2_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op5_quality_rules)}
 ORACLE: dict[str, str] = {}
