@@ -1,8 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
+from . import mixing
+from .mixing import op7_mixing
+from .packing import op4_sum_of_squares_packing
 from .quality_rules import op5_quality_rules
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op5_quality_rules)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op4_sum_of_squares_packing, op5_quality_rules, op7_mixing)}
+ORACLE: dict[str, str] = {"op7_mixing": mixing.ORACLE}
