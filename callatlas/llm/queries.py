@@ -4,8 +4,20 @@ from . import mixing
 from .mixing import op7_mixing
 from .packing import op4_sum_of_squares_packing
 from .quality_rules import op5_quality_rules
+from .simhash import op10_simhash
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup, op4_sum_of_squares_packing, op5_quality_rules, op7_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_suffix_dedup,
+        op3_substring_dedup,
+        op4_sum_of_squares_packing,
+        op5_quality_rules,
+        op7_mixing,
+        op10_simhash,
+    )
+}
+#: None for those that SQL can't express; tests hold them against brute force.
 ORACLE: dict[str, str] = {"op7_mixing": mixing.ORACLE}
