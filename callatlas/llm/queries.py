@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import mixing
+from . import mixing, warc_zip
 from .mixing import op7_mixing
 from .packing import op4_sum_of_squares_packing
 from .quality_rules import op5_quality_rules
 from .simhash import op10_simhash
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
+from .warc_zip import op6_warc_archives
 
 QUERIES = {
     f.__name__: f
@@ -15,9 +16,10 @@ QUERIES = {
         op3_substring_dedup,
         op4_sum_of_squares_packing,
         op5_quality_rules,
+        op6_warc_archives,
         op7_mixing,
         op10_simhash,
     )
 }
 #: None for those that SQL can't express; tests hold them against brute force.
-ORACLE: dict[str, str] = {"op7_mixing": mixing.ORACLE}
+ORACLE: dict[str, str] = {"op6_warc_archives": warc_zip.ORACLE, "op7_mixing": mixing.ORACLE}
