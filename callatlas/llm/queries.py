@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
 from . import mixing, warc_zip
+from .embedding_dedup import op1_cover_tree_dedup
 from .mixing import op7_mixing
 from .packing import op4_sum_of_squares_packing
 from .quality_rules import op5_quality_rules
@@ -12,6 +13,7 @@ from .warc_zip import op6_warc_archives
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_cover_tree_dedup,
         op2_suffix_dedup,
         op3_substring_dedup,
         op4_sum_of_squares_packing,
