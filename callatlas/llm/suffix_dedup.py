@@ -29,7 +29,7 @@ BODIES = [("k", "long"), ("w", "long"), ("shard", "int"), ("times", "long"), ("n
 #: kind 0: the segment of anchor k is the same in several shards; 1: anchor k has unequal segments; 2: so many that windows
 #: are counted; 3: `bits` tells which windows of segment (k, w) repeat; 4: the window (k, w) repeats.
 FOUND = [("shard", "int"), ("kind", "int"), ("k", "long"), ("w", "long"), ("bits", "binary")]
-HOT = 256
+HOT = 4096
 BATCH = 1 << 20
 
 
