@@ -48,9 +48,9 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
 
 
-def n_shards(n_bytes: int) -> int:
-    """Shards of 4 MB of text at first, growing to 32 MB once there are thousands of them."""
-    size = min(SHARD_MOST, max(SHARD_LEAST, n_bytes // SHARDS))
+def n_shards(n_bytes: int, least: int) -> int:
+    """Shards of `least` bytes of text at first, growing to 32 MB once there are thousands of them."""
+    size = min(SHARD_MOST, max(least, n_bytes // SHARDS))
     return max(1, -(-n_bytes // size))
 
 
@@ -64,13 +64,13 @@ def _packed(batches, keep_columns):
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep_columns), pa.array(z, pa.binary())], names=[*keep_columns, "z"])
 
 
-def sharded(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def sharded(docs: DataFrame, carry: tuple[str, ...] = (), size: int | None = None) -> DataFrame:
     """(shard, doc_id, carried columns, z): the whole texts, compressed, dealt by a hash of id and text.
 
     Plans that read the result several times share one exchange. A shard is what one task
     looks at together, so that what a key has in a shard can be summed up before a shuffle.
     """
-    n = n_shards(text_bytes(docs))
+    n = n_shards(text_bytes(docs), size or SHARD_LEAST)
     columns = ["shard", "doc_id", *carry]
     raw = docs.select(
         F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(n)).cast("int").alias("shard"),
