@@ -52,20 +52,40 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.between = self.one("\x01")
+
+    def one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Many words in one call, with a character between them that has one id of its own."""
+        plain = [w for w in words if "\x01" not in w and "<|" not in w]
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" \x01 ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ids == np.frombuffer(self.between, "<u4")[0]) if len(self.between) == 4 else []
+            if len(cut) == len(part) - 1:
+                raw, ends = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
+                self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)), strict=True))
+            else:
+                self.known.update((w, self.one(w)) for w in part)
+        self.known.update((w, self.one(w)) for w in words if "\x01" in w or "<|" in w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words} - self.known.keys()
+        words = set().union(*split)
+        known = self.known
+        if len(known) + len(words - known.keys()) > CACHE:
+            known.clear()
+        new = words - known.keys()
         if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = {w for words in split for w in words}
-            new = list(new)
-            for at in range(0, len(new), 50_000):
-                part = new[at : at + 50_000]
-                got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            # after a letter or digit, points and commas up to the end are tokens of their own
+            stems = {w: w.rstrip(".,") for w in new if w[-1:] in (".", ",")}
+            stems = {w: x for w, x in stems.items() if x and x[-1].isalnum()}
+            need = {*(new - stems.keys()), *stems.values(), *(w[len(x) :] for w, x in stems.items())}
+            self.learn(list(need - known.keys()))
+            known.update((w, known[x] + known[w[len(x) :]]) for w, x in stems.items())
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def tokens(path: str) -> Tokens:
@@ -78,24 +98,25 @@ def tokens(path: str) -> Tokens:
 def cut_pieces(batches, path: str, length: int):
     import os
 
+    import pyarrow.compute as pc
+
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = tokens(path)
     for b in batches:
-        ids, rows = b.column("doc_id").to_pylist(), b.column("text")
+        sizes = np.cumsum(pc.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False))
         at = 0
-        while at < len(ids):
-            texts, size = [], 0
-            while at + len(texts) < len(ids) and size < 4 << 20:
-                texts.append(rows[at + len(texts)].as_py() or "")
-                size += len(texts[-1])
+        while at < len(sizes):
+            end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (4 << 20))) + 1
+            part = b.slice(at, end - at)
+            texts = [t or "" for t in part.column("text").to_pylist()]
             out: list[tuple] = []
-            for doc_id, data in zip(ids[at : at + len(texts)], tokenizer.encode(texts), strict=True):
+            for doc_id, data in zip(part.column("doc_id").to_pylist(), tokenizer.encode(texts), strict=True):
                 data = memoryview(data + b"\0\0\0\0")
                 for piece, start in enumerate(range(0, len(data) // 4, length)):
-                    part = data[4 * start : 4 * (start + length)]
-                    out.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part)))
+                    part_of = data[4 * start : 4 * (start + length)]
+                    out.append((doc_id, piece, start, len(part_of) // 4, zlib.crc32(part_of)))
+            at = end
             yield record(PIECES, *map(list, zip(*out, strict=True)))
-            at += len(texts)
 
 
 def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
