@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, keep, load
+from .common import WORD, id_or_last, keep, load
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -86,15 +86,20 @@ def mixed(sized: DataFrame) -> DataFrame:
 def take(docs: DataFrame, amounts: DataFrame) -> DataFrame:
     """The documents of the mix: as many whole copies as are taken, then the part that the budget cuts.
 
-    amounts: (doc_id, taken); ids are expected to be unique.
+    amounts: (doc_id, size, taken). Rows that share a doc_id, null included, share what they
+    take in proportion to their sizes, rounded down.
     """
-    a = amounts.select(F.col("doc_id").alias("of"), "taken", "size").filter("taken > 0")
-    rows = docs.join(a, docs.doc_id == a.of)
-    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-    rest = F.col("taken") - (F.col("copy") - 1) * F.col("size")
-    text = F.when(rest >= F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, rest.cast("int")), " "))
-    return rows.withColumn("text", text).select(*docs.columns)
+    a = amounts.groupBy(id_or_last().alias("of")).agg(F.sum("taken").alias("all_taken"), F.sum("size").alias("all_size"), F.count("*").alias("n_rows")).filter("all_taken > 0")
+    rows = docs.select(id_or_last().alias("mix_id"), F.struct(*docs.columns).alias("row"))
+    rows = rows.join(a, rows.mix_id == a.of)
+    size = F.when(F.col("n_rows") == 1, F.col("all_size")).otherwise(word_count("row.text"))
+    share = F.when(F.col("n_rows") == 1, F.col("all_taken")).otherwise(F.floor(F.col("all_taken") * F.col("size") / F.col("all_size")).cast("long"))
+    rows = rows.withColumn("size", size).withColumn("share", share).filter("share > 0")
+    rest = F.col("share") - F.col("nth") * F.col("size")
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("share") / F.col("size")) - 1)))
+    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD})"), F.lit(1)), 1, rest.cast("int")), " ")
+    text = F.when(rest >= F.col("size"), F.col("row.text")).otherwise(cut)
+    return rows.select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from . import mixing, warc_zip
 from .embedding_dedup import op1_cover_tree_dedup
+from .license_scan import op8_license_templates
 from .lm_scoring import op9_backoff_scoring
 from .mixing import op7_mixing
 from .packing import op4_sum_of_squares_packing
@@ -21,6 +22,7 @@ QUERIES = {
         op5_quality_rules,
         op6_warc_archives,
         op7_mixing,
+        op8_license_templates,
         op9_backoff_scoring,
         op10_simhash,
     )

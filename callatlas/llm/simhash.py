@@ -52,15 +52,19 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(2 * count > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp)"""
+def fingerprints(docs: DataFrame, shingle: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, carried columns)"""
+    import pyarrow as pa
 
     def each(batches):
         for b in batches:
-            fp = np.array([fingerprint(t.as_py() or b"", shingle) for t in b.column("text")], np.uint64)
-            yield record([("doc_id", "long"), ("fp", "long")], b.column("doc_id"), fp)
+            fp = np.array([fingerprint(t.as_py() or b"", shingle) for t in b.column("text_bytes")], np.uint64)
+            made = record([("doc_id", "long"), ("fp", "long")], b.column("doc_id"), fp)
+            yield pa.RecordBatch.from_arrays([*made.columns, *(b.column(c) for c in carry)], names=["doc_id", "fp", *carry])
 
-    return docs.select(id_or_last().alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(each, "doc_id long, fp long")
+    rows = docs.select(id_or_last().alias("doc_id"), F.col("text").cast("binary").alias("text_bytes"), *carry)
+    carried = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(each, f"doc_id long, fp long{carried}")
 
 
 # --- comparison ----------------------------------------------------------------------------------
@@ -201,16 +205,34 @@ def linked(classes: DataFrame, radius: int, n: int) -> DataFrame:
     return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "fp").mapInArrow(lambda b: link_buckets(b, radius), schema)
 
 
+def classified(each: DataFrame, radius: int) -> DataFrame:
+    """(fp, rep, component_id): each fingerprint with its smallest doc_id, and that of all it is linked to."""
+    classes = keep(each.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    of = components(linked(classes, radius, classes.count()))
+    return classes.join(of, classes.rep == of.id, "left").select("fp", "rep", F.coalesce("component", "rep").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
     """(doc_id, fp, component_id)"""
     each = keep(fingerprints(docs, shingle))
-    classes = keep(each.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    of = components(linked(classes, radius, classes.count()))
-    classes = classes.join(of, classes.rep == of.id, "left").select(F.col("fp").alias("class"), F.coalesce("component", "rep").alias("component_id"))
+    classes = classified(each, radius).select(F.col("fp").alias("class"), "component_id")
     no_id = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return each.join(classes, F.col("fp") == F.col("class")).select(no_id("doc_id"), "fp", no_id("component_id"))
 
 
+def representatives(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+    """The rows of docs, one of each component: the one with the smallest doc_id.
+
+    Rows that repeat a doc_id and a fingerprint count once. Rows with a null doc_id that are
+    in no component of a row with an id stay, one for each fingerprint, as do rows that share
+    an id with different fingerprints.
+    """
+    each = keep(fingerprints(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), shingle, carry=("row",)))
+    first = classified(each, radius).filter("rep = component_id").select(F.col("fp").alias("of"), "rep")
+    rows = each.groupBy("doc_id", "fp").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows.join(first, (rows.doc_id == first.rep) & (rows.fp == first.of)).select("row.*")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(load(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
