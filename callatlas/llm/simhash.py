@@ -71,12 +71,13 @@ def fingerprints(docs: DataFrame, shingle: int, carry: tuple[str, ...] = ()) ->
 
 
 def planes(fp: np.ndarray) -> np.ndarray:
-    """Row b, word w: bit b of fingerprints 64 w to 64 w + 63; with a word of zeros at the end."""
-    n = -(-len(fp) // 64) * 64
-    padded = np.zeros(n, np.uint64)
-    padded[: len(fp)] = fp
-    bits = np.unpackbits(padded.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    out = np.zeros((64, n // 64 + 1), np.uint64)
+    """Row b, word w: bit b of fingerprints 64 w to 64 w + 63; with a word of zeros at the end. fp: a row of words for each, or one word."""
+    words = fp if fp.ndim == 2 else fp[:, None]
+    n = -(-len(words) // 64) * 64
+    padded = np.zeros((n, words.shape[1]), np.uint64)
+    padded[: len(words)] = words
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
+    out = np.zeros((bits.shape[1], n // 64 + 1), np.uint64)
     out[:, :-1] = np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64)
     return out
 
@@ -91,8 +92,7 @@ def near_at_shift(sliced: np.ndarray, shift: int, lanes: np.ndarray, radius: int
     counter = np.zeros((depth, len(at)), np.uint64)
     over = np.zeros(len(at), np.uint64)
     full = sliced.shape[1] - 1
-    for b in range(64):
-        row = sliced[b]
+    for b, row in enumerate(sliced):
         later = row[at + q] >> np.uint64(r)
         if r:
             later |= row[np.minimum(at + q + 1, full)] << np.uint64(64 - r)
@@ -220,19 +220,6 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     return each.join(classes, F.col("fp") == F.col("class")).select(no_id("doc_id"), "fp", no_id("component_id"))
 
 
-def representatives(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """The rows of docs, one of each component: the one with the smallest doc_id.
-
-    Rows that repeat a doc_id and a fingerprint count once. Rows with a null doc_id that are
-    in no component of a row with an id stay, one for each fingerprint, as do rows that share
-    an id with different fingerprints.
-    """
-    each = keep(fingerprints(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), shingle, carry=("row",)))
-    first = classified(each, radius).filter("rep = component_id").select(F.col("fp").alias("of"), "rep")
-    rows = each.groupBy("doc_id", "fp").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return rows.join(first, (rows.doc_id == first.rep) & (rows.fp == first.of)).select("row.*")
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(load(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

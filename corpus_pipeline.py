@@ -4,8 +4,8 @@ Each stage takes the table of the one before, which is written as Parquet in the
 folder and read again, so that a lost executor costs no earlier stage. All but the last
 return the columns of documents; other columns of the input pass through unchanged.
 
-Defined results: a null text fails the quality rules. Rows that repeat an id and a
-fingerprint are copies; one stays. A document whose words all go in substring dedup goes.
+Defined results: a null text fails the quality rules. Rows whose
+texts have the same shingles are copies; one stays. A document whose words all go in substring dedup goes.
 n_chars follows the text where a stage changes it. An empty table gives empty tables.
 """
 
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from callatlas.llm.common import keep, load
 from callatlas.llm.mixing import mixed, sizes, take
+from callatlas.llm.near_texts import representatives
 from callatlas.llm.packing import packed
 from callatlas.llm.quality_rules import apply_policy, ledger
-from callatlas.llm.simhash import representatives
 from callatlas.llm.substring_dedup import remove_repeated_words
 
 
@@ -44,8 +44,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, the one with the smallest id."""
-    return representatives(docs)
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return _rebuilt(representatives(_with_row(docs), carry=("row",)), docs, changed=False)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -226,6 +226,46 @@ def test_pipeline(spark, sf, docs):
     assert pipeline.STAGES[-1][1](spark, now, sf[0]).count() > 0
 
 
+def shingled(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def near_groups(texts):
+    """For each distinct set of shingles, the smallest row number of its group."""
+    sets = list(dict.fromkeys(map(shingled, texts)))
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and len(a & b) >= 0.8 * len(a | b)]
+    return dict(zip(sets, components(len(sets), links), strict=True))
+
+
+def test_near_copies(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(500)]
+    texts = [None, "", " \n", "Ein Wort", "ein wort", "a b c d e", "a b c d e f"]
+    for i in range(60):
+        w = rng.choices(vocabulary, k=rng.randint(40, 400))
+        texts.append(" ".join(w))
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            v = list(w)
+            for _ in range(rng.randint(0, len(w) // 40)):
+                v[rng.randrange(len(v))] = "edited"
+            texts.append(" ".join(v))
+    texts += [texts[7]] * 40
+    rows = [(i, t, "x", i) for i, t in enumerate(texts)] + [(7, texts[7], "x", 7), (None, texts[7], "x", 1), (None, "alone here", None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, digest long")
+    out = pipeline.near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = [r for r in out.collect()]
+    of, first = near_groups([r[1] for r in rows]), {}
+    for r in rows:
+        first.setdefault(of[shingled(r[1])], r)
+    want = set(first.values())
+    assert {tuple(r) for r in kept} >= want  # nothing else goes
+    assert len(kept) == len({tuple(r) for r in kept}) <= len(want) + 1  # RECALL is under one
+
+
 def test_empty_tables(spark, tmp_path):
     at = str(tmp_path)
     pq.write_table(pa.Table.from_pylist([], SCHEMA), f"{at}/documents.parquet")
