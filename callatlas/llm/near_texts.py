@@ -1,15 +1,12 @@
-"""Near copies of texts by the similarity of their word shingles: wide SimHash, bit-sliced, then an exact check.
+"""Near copies of texts by the similarity of their word shingles: an exact prefix filter, then an exact check.
 
 Similarity is that of the sets of five-word shingles (A-Z lower-cased; shared ones over all).
-Texts with equal sets are one class at once. Each class has a SimHash of 128 bits over its
-set. Tables of random bits bring classes together, enough of them that a pair at the
-threshold shares a bucket of one with probability RECALL. Within buckets, bit planes are
-compared by carry-save counters in rings of rising radius, and only pairs that join two
-parts of a bucket leave it, nearest first: at most as many as the bucket has members. Those
-are then checked exactly, on whole texts. So no pair below the threshold links; of pairs
-above it, few are lost: by the tables, by the radius, in groups whose nearest
-pairs fail the check, or in buckets of more than PART members, which are dealt by a
-hash that differs from table to table into parts that are each compared whole.
+Texts with equal sets are one class at once. All sets are sorted in one order, shingles that
+are rare in a sample first. Two sets at the threshold share a shingle among the first
+fifth of each (and one more), so these are the buckets; where their first shared one stands
+bounds what they share in all. Pairs within the bound are checked on whole texts, those
+near in size first. Only links that passed the check join parts, and a pair is left out only
+if such links join it already; so the groups are those of all pairs at the threshold.
 
 Defined results: null and blank texts have no shingles and are one class. A text of fewer
 than five words has one shingle, all its words. The row with the smallest doc_id of a group
@@ -19,30 +16,30 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
-import math
-import random
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_run, ddl, id_or_last, keep, record, run_starts
-from .components import components, unite
+from .components import components
 from .grams import SIZE_1, SIZE_2, Spans, mix, words
-from .simhash import as_lanes, near_at_shift, planes
 
-SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99
-WIDTH = 2
-#: A pair at the threshold differs in 19 of 128 bits, with a standard deviation of 4.
-RINGS = (10, 20, 30)
+SHINGLE, SIMILARITY = 5, 0.8
+#: For the order of shingles, which any sample gives right results with.
+SAMPLE, FREQUENT = 20_000, 500_000
+#: Each round compares rows so far apart in their bucket; from the second on, also across parts.
+ROUNDS = ((1, 4), (4, 32), (32, 256), (256, 1 << 62))
 PART = 2048
 BROADCAST_ROWS = 500_000
-DESCRIBED = [("digest", "long"), ("f0", "long"), ("f1", "long")]
-BUCKETED = [("bucket", "long"), *DESCRIBED]
+DESCRIBED = [("digest", "long")]
+PREFIXES = [("bucket", "long"), ("digest", "long"), ("size", "int"), ("rest", "int")]
+COUNTS = [("token", "long"), ("n", "long")]
 LINKS = [("a", "long"), ("b", "long")]
 
 
-# --- shingles and fingerprints ----------------------------------------------------------------
+# --- shingles ---------------------------------------------------------------------------------
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -62,21 +59,11 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, n
 
 
 def described(texts: list[bytes]) -> list[np.ndarray]:
-    """digest: a hash of the set of shingles; then the words of the fingerprint"""
+    """digest: a hash of the set of shingles"""
     g, of = shingle_sets(texts)
     digest = np.zeros(len(texts), np.uint64)
     np.add.at(digest, of, mix(g + SIZE_2))
-    count = np.bincount(of, minlength=len(texts))
-    out = [mix(digest)]
-    for word in range(1, WIDTH + 1):
-        ones = np.zeros((len(texts), 64), np.int64)
-        for at in range(0, len(g), 1 << 16):
-            some = mix(g[at : at + (1 << 16)] + np.uint64(word * int(SIZE_1) % 2**64))
-            bits = np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            runs = run_starts(of[at : at + (1 << 16)])
-            ones[of[at + runs]] += np.add.reduceat(bits, runs, axis=0, dtype=np.int64)
-        out.append(np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0])
-    return out
+    return [mix(digest)]
 
 
 def pieces(rows, size: int = 1 << 20):
@@ -92,7 +79,7 @@ def pieces(rows, size: int = 1 << 20):
 
 
 def describe(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    """(doc_id, text, carried columns, digest, f0, f1, row_hash)"""
+    """(doc_id, text, carried columns, digest, row_hash)"""
     import pyarrow as pa
 
     columns = ["doc_id", "text", *carry]
@@ -112,72 +99,93 @@ def describe(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
 # --- candidates ---------------------------------------------------------------------------------
 
 
-def agreement(similarity: float) -> float:
-    """The probability that a bit agrees for two sets of one size with this similarity."""
-    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+def sample_counts(batches):
+    import pyarrow as pa
 
+    for b in batches:
+        for texts in pieces(b.column("text").cast(pa.binary())):
+            token, n = np.unique(shingle_sets(texts)[0], return_counts=True)
+            yield record(COUNTS, token, n)
+
+
+def frequent(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample have, sorted, and how many have them."""
+    some = texts.filter(F.pmod(F.xxhash64("digest"), F.lit(max(1, n // SAMPLE))) == 0)
+    counts = some.select("text").mapInArrow(sample_counts, ddl(COUNTS)).groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1")
+    got = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
+    token, n_of = got.token.to_numpy(np.int64).view(np.uint64), got.n.to_numpy(np.int64)
+    order = np.argsort(token)
+    return token[order], n_of[order]
+
+
+def prefixes(g: np.ndarray, of: np.ndarray, known: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(shingle, text, size of its set, shingles of the set from this one on) of the first shingles of each set"""
+    weight = np.zeros(len(g), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+        weight = np.where(known[at] == g, counts[at], 0)
+    order = np.lexsort((g, weight, of))
+    g, of = g[order], of[order]
+    at = run_starts(of)
+    sizes = np.diff(np.append(at, len(of)))
+    size, rest = np.repeat(sizes, sizes), np.repeat(at + sizes, sizes) - np.arange(len(of))
+    least = Fraction(SIMILARITY).limit_denominator(1000)
+    first = least.denominator * rest >= least.numerator * size
+    return g[first], of[first], size[first], rest[first]
 
-def tables(n: int) -> list[list[int]]:
-    """The bits of each table: so many that a random bucket has some 32 members, so many tables that RECALL holds."""
-    n_bits = max(8, round(math.log2(max(n, 2))) - 5)
-    n_tables = math.ceil(math.log(1 - RECALL) / math.log(1 - agreement(SIMILARITY) ** n_bits))
-    return [random.Random(t).sample(range(64 * WIDTH), n_bits) for t in range(n_tables)]
 
+def bucketed(texts: DataFrame, n: int) -> DataFrame:
+    """(bucket, digest, size, rest): each class once for every shingle of its prefix"""
+    import pyarrow as pa
 
-def bucketed(classes: DataFrame, n: int) -> DataFrame:
-    """(bucket, digest, f0, f1): each class once for every table"""
-    which = tables(n)
+    order = texts.sparkSession.sparkContext.broadcast(frequent(texts, n))
 
     def each(batches):
         for b in batches:
-            digest, *fp = (b.column(c).to_numpy() for c, _ in DESCRIBED)
-            fp = [x.view(np.uint64) for x in fp]
-            for t, bits in enumerate(which):
-                key = np.full(len(digest), t, np.uint64)
-                for i in bits:
-                    key = key << np.uint64(1) | fp[i // 64] >> np.uint64(i % 64) & np.uint64(1)
-                yield record(BUCKETED, key, digest, *fp)
-
-    return classes.select("digest", "f0", "f1").mapInArrow(each, ddl(BUCKETED))
-
-
-def joining_pairs(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """group: sorted. Pairs of rows, near each other, that join all within the last ring of their group, nearest rings first."""
-    n = len(group)
-    parent, found = np.arange(n), [(np.zeros(0, np.int64),) * 2]
-    sliced = planes(fp)
-    longest = int(np.diff(np.append(run_starts(group), n)).max(initial=0))
-    for radius in RINGS:
-        for shift in range(1, longest):
-            ask = np.zeros(n, bool)
-            ask[:-shift] = (group[:-shift] == group[shift:]) & (parent[:-shift] != parent[shift:])
-            if not ask.any():
-                continue
-            x = np.flatnonzero(np.unpackbits(near_at_shift(sliced, shift, as_lanes(ask), radius).view(np.uint8), bitorder="little"))
-            if len(x):
-                a, b = parent[x], parent[x + shift]
-                _, once = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True)
-                found.append((x[once], x[once] + shift))
-                parent = unite(parent, x, x + shift)
-    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
-
-
-def link_parts(batches):
+            digest, at = b.column("digest").to_numpy(), 0
+            for some in pieces(b.column("text").cast(pa.binary())):
+                g, of, size, rest = prefixes(*shingle_sets(some), *order.value)
+                yield record(PREFIXES, g, digest[at + of], size, rest)
+                at += len(some)
+
+    return texts.select("digest", "text").mapInArrow(each, ddl(PREFIXES))
+
+
+def near_pairs(v: dict[str, np.ndarray], shifts: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """v: sorted by bucket and part. Pairs of rows so far apart that may be at the threshold and aren't joined."""
+    at = run_starts(v["bucket"], v["part"])
+    size = np.diff(np.append(at, len(v["part"])))
+    last = np.repeat(at + size, size)
+    least = Fraction(SIMILARITY).limit_denominator(1000)
+    n_words, rest = v["size"].astype(np.int64), v["rest"].astype(np.int64)
+    found = [(np.zeros(0, np.int64),) * 2]
+    x = np.arange(len(last))
+    for shift in range(shifts[0], min(shifts[1], int(size.max(initial=0)))):
+        x = x[x + shift < last[x]]
+        # sizes ascend, so that one too large for x ends its comparisons
+        x = x[least.denominator * n_words[x] >= least.numerator * n_words[x + shift]]
+        if not len(x):
+            break
+        y = x + shift
+        fits = (least.numerator + least.denominator) * np.minimum(rest[x], rest[y]) >= least.numerator * (n_words[x] + n_words[y])
+        fits &= v["group"][x] != v["group"][y]
+        found.append((x[fits], y[fits]))
+    return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+
+def link_parts(batches, shifts: tuple[int, int]):
     held: list[dict] = []
     total = 0
 
     def flush():
         v = {c: np.concatenate([x[c] for x in held]) for c in held[0]}
-        at = run_starts(v["bucket"], v["part"])
-        size = np.diff(np.append(at, len(v["part"])))
-        group = np.repeat(np.arange(len(at)), size)
-        several = size[group] > 1
-        fp = np.stack([v["f0"][several], v["f1"][several]], axis=1).view(np.uint64)
-        x, y = joining_pairs(group[several], fp)
-        digest = v["digest"][several]
-        yield record(LINKS, np.minimum(digest[x], digest[y]), np.maximum(digest[x], digest[y]))
-
-    for v in by_run(batches, "bucket", ["bucket", "part", "digest", "f0", "f1"]):
+        x, y = near_pairs(v, shifts)
+        a, b = np.minimum(v["digest"][x], v["digest"][y]), np.maximum(v["digest"][x], v["digest"][y])
+        order = np.lexsort((b, a))
+        once = order[run_starts(a[order], b[order])]
+        yield record(LINKS, a[once], b[once])
+
+    for v in by_run(batches, "bucket", ["bucket", "part", "digest", "size", "rest", "group"]):
         held.append(v)
         total += len(v["part"])
         if total > 30_000:
@@ -187,15 +195,26 @@ def link_parts(batches):
         yield from flush()
 
 
-def candidates(classes: DataFrame, n: int) -> DataFrame:
-    """Pairs (a, b) of digests, each once"""
-    rows = bucketed(classes, n)
-    hot = keep(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > PART))
-    by = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
-    part = F.coalesce(F.pmod(F.xxhash64("digest", "bucket"), F.ceil(F.col("size") / PART)), F.lit(0)).cast("int").alias("part")
-    rows = rows.join(by, "bucket", "left").select("bucket", part, "digest", "f0", "f1")
-    dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "f0")
-    return dealt.mapInArrow(link_parts, ddl(LINKS)).distinct()
+def shared(rows: DataFrame, part: int) -> DataFrame:
+    """(bucket, digest, size, rest, n_parts) of the buckets that several classes share; n_parts is null up to `part` of them"""
+    sizes = keep(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    n_parts = F.when(F.col("n") > part, F.ceil(F.col("n") / part).cast("int"))
+    by = sizes.select("bucket", n_parts.alias("n_parts"))
+    return rows.join(F.broadcast(by) if sizes.count() <= BROADCAST_ROWS else by, "bucket")
+
+
+def candidates(rows: DataFrame, of: DataFrame | None, shifts: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of digests, each once. of: the (id, component) of classes that are joined so far"""
+    if of is None:
+        rows = rows.withColumn("group", F.col("digest"))
+    else:
+        rows = rows.join(of.withColumnRenamed("id", "digest"), "digest", "left").withColumn("group", F.coalesce("component", "digest")).drop("component")
+        open_ = rows.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n"))
+        rows = rows.join(open_.filter((F.col("lo") != F.col("hi")) & ((F.col("n") > shifts[0]))).select("bucket"), "bucket", "left_semi")
+    mine = F.pmod(F.xxhash64("digest", "bucket"), F.coalesce("n_parts", F.lit(1))).cast("int")
+    rows = rows.select("bucket", mine.alias("part"), "digest", "size", "rest", "group")
+    dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "size", "digest")
+    return dealt.mapInArrow(lambda b: link_parts(b, shifts), ddl(LINKS)).distinct()
 
 
 # --- exact check ----------------------------------------------------------------------------------
@@ -217,23 +236,30 @@ def check_pairs(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(near)
 
 
-def representatives(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+def representatives(docs: DataFrame, carry: tuple[str, ...], part: int = PART) -> DataFrame:
     """(doc_id, text, carried columns) of one row for each group of linked texts"""
     each = keep(describe(docs, carry))
     first = F.min(F.struct("doc_id", "row_hash")).alias("first")
-    classes = keep(each.groupBy("digest").agg(F.min("f0").alias("f0"), F.min("f1").alias("f1"), first))
-    pairs = keep(candidates(classes, classes.count()))
+    classes = keep(each.groupBy("digest").agg(first))
 
     def rows_of(chosen: DataFrame, *columns: str) -> DataFrame:
         """chosen: (digest, first), each digest once. One row of `each` for each."""
         by = chosen.select("digest", "first.doc_id", "first.row_hash")
         return each.select("digest", "doc_id", "row_hash", *columns).join(by, ["digest", "doc_id", "row_hash"]).dropDuplicates(["digest"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    texts = keep(rows_of(classes.join(ends, "digest"), "text").select("digest", "text"))
+    texts = keep(rows_of(classes, "text").select("digest", "text"))
+    rows = keep(shared(keep(bucketed(texts, classes.count())), part))
     side = lambda c: texts.select(F.col("digest").alias(c), F.col("text").alias(f"text_{c}"))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check_pairs, ddl(LINKS))
-    of = components(links)
+    links, of = None, None
+    for shifts in ROUNDS:
+        pairs = keep(candidates(rows, of, shifts))
+        if pairs.isEmpty():
+            continue
+        found = keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check_pairs, ddl(LINKS)))
+        links = found if links is None else links.union(found)
+        of = keep(components(links))
+    if of is None:
+        return rows_of(classes, "text", *carry).select("doc_id", "text", *carry)
     group = F.coalesce("component", "digest").alias("group")
     grouped = classes.join(of, classes.digest == of.id, "left").select(group, F.struct("first", "digest").alias("which"))
     chosen = grouped.groupBy("group").agg(F.min("which").alias("which")).select("which.digest", "which.first")
