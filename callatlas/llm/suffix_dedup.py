@@ -181,15 +181,16 @@ def columns_of(found: pd.DataFrame):
 def shard_bodies(docs: pd.DataFrame, found: pd.DataFrame, window: int, gram: int) -> pd.DataFrame:
     kind, fk, _, _ = columns_of(found)
     mixed, hot = np.sort(fk[kind == 1]), np.sort(fk[kind == 2])
-    h, sh, n, bodies, k, w = [], [], [], [], [], []
+    h, sh, n, times, bodies, k, w = [], [], [], [], [], [], []
     if len(docs) and len(mixed) + len(hot):
         for _, _, buf, _, s in segments_of(docs.z, window, gram):
             which = np.flatnonzero(member(s.h, mixed))
-            _, one = np.unique(s.sh[which], return_index=True)
+            _, one, many = np.unique(s.sh[which], return_index=True, return_counts=True)
             which = which[one]
             h.append(s.h[which])
             sh.append(s.sh[which])
             n.append(s.count[which])
+            times.append(many)
             bodies += [buf[a:b] for a, b in zip(s.first[which].tolist(), (s.first + s.count + window - 1)[which].tolist(), strict=True)]
             which = np.flatnonzero(member(s.h, hot))
             at, start = s.windows(which)
@@ -199,7 +200,8 @@ def shard_bodies(docs: pd.DataFrame, found: pd.DataFrame, window: int, gram: int
     if not h:
         return pd.DataFrame({c: np.zeros(0, np.int64) for c, _ in BODIES[:-1]} | {"body": []})
     shard = docs.shard.iloc[0]
-    out = pd.DataFrame({"k": np.concatenate(h).view(np.int64), "w": np.concatenate(sh).view(np.int64), "shard": shard, "times": 1, "n": np.concatenate(n), "body": bodies})
+    out = pd.DataFrame({"k": np.concatenate(h).view(np.int64), "w": np.concatenate(sh).view(np.int64), "shard": shard, "times": np.concatenate(times), "n": np.concatenate(n), "body": bodies})
+    out["times"] = out.groupby(["k", "w"])["times"].transform("sum")
     out = out.drop_duplicates(["k", "w"])
     single = pd.DataFrame({"k": np.concatenate(k).view(np.int64), "w": np.concatenate(w).view(np.int64)})
     if len(single):
@@ -222,7 +224,7 @@ def joined_bodies(batches, window: int):
             keep = np.repeat(np.add.reduceat(times, at), np.diff(np.append(at, len(k)))) > 1
             n = keep.sum()
             yield record(FOUND, shard[keep], np.full(n, 4, np.int32), k[keep], w[keep], [None] * n)
-        k, w, shard, n, body = (v[c][~single] for c in ("k", "w", "shard", "n", "body"))
+        k, w, shard, times, n, body = (v[c][~single] for c in ("k", "w", "shard", "times", "n", "body"))
         if not len(k):
             continue
         at = run_starts(k, w)
@@ -233,7 +235,8 @@ def joined_bodies(batches, window: int):
             bits = bits_of(repeated_windows(list(body[rows]), n_of, window), n_of)
             end = np.append(at, len(k))[lo + 1 : hi + 1]
             many = end - rows
-            ones = [np.packbits(np.ones(c, bool)).tobytes() if m > 1 else b for c, m, b in zip(n_of.tolist(), many.tolist(), bits, strict=True)]
+            copies = np.add.reduceat(times, at)[lo:hi]
+            ones = [np.packbits(np.ones(c, bool)).tobytes() if m > 1 else b for c, m, b in zip(n_of.tolist(), copies.tolist(), bits, strict=True)]
             pick = np.repeat(np.arange(len(rows)), many)
             yield record(FOUND, shard[rows[0] : end[-1]], np.full(len(pick), 3, np.int32), k[rows[0] : end[-1]], w[rows[0] : end[-1]], [ones[i] for i in pick.tolist()])
 
@@ -318,9 +321,9 @@ def cut_bytes(docs: pd.DataFrame, found: pd.DataFrame, window: int, gram: int, c
     return pd.DataFrame(out)
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 200, gram: int = 48, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, carried columns, n_bytes, n_removed, n_spans, kept binary)."""
-    d = sharded(docs, carry)
+def remove_repeated_bytes(docs: DataFrame, window: int = 200, gram: int = 48, carry: tuple[str, ...] = (), size: int | None = None) -> DataFrame:
+    """(doc_id, carried columns, n_bytes, n_removed, n_spans, kept binary). size: of a shard"""
+    d = sharded(docs, carry, size)
     paths = d.mapInArrow(lambda b: shard_paths(b, window, gram), ddl(PATHS))
     found = paths.repartition("h").sortWithinPartitions("h").mapInArrow(joined_paths, ddl(FOUND))
     bodies = d.groupBy("shard").cogroup(found.groupBy("shard")).applyInPandas(lambda a, b: shard_bodies(a, b, window, gram), ddl(BODIES))
