@@ -5,7 +5,8 @@ Texts with equal sets are one class at once. All sets are sorted in one order, s
 are rare in a sample first. Two sets at the threshold share a shingle among the first
 fifth of each (and one more), so these are the buckets; where their first shared one stands
 bounds what they share in all. Pairs within the bound are checked on whole texts, those
-near in size first. Only links that passed the check join parts, and a pair is left out only
+near in size first. A bucket of more than PART classes is dealt into parts, and each part
+is compared with each. Only links that passed the check join parts, and a pair is left out only
 if such links join it already; so the groups are those of all pairs at the threshold.
 
 Defined results: null and blank texts have no shingles and are one class. A text of fewer
@@ -151,6 +152,15 @@ def bucketed(texts: DataFrame, n: int) -> DataFrame:
     return texts.select("digest", "text").mapInArrow(each, ddl(PREFIXES))
 
 
+def of_first(shifts: tuple[int, int]) -> bool:
+    return shifts == ROUNDS[0]
+
+
+def across(shifts: tuple[int, int]) -> int:
+    """The first shift between two parts, which the first round leaves out."""
+    return 1 if shifts == ROUNDS[1] else shifts[0]
+
+
 def near_pairs(v: dict[str, np.ndarray], shifts: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """v: sorted by bucket and part. Pairs of rows so far apart that may be at the threshold and aren't joined."""
     at = run_starts(v["bucket"], v["part"])
@@ -160,7 +170,8 @@ def near_pairs(v: dict[str, np.ndarray], shifts: tuple[int, int]) -> tuple[np.nd
     n_words, rest = v["size"].astype(np.int64), v["rest"].astype(np.int64)
     found = [(np.zeros(0, np.int64),) * 2]
     x = np.arange(len(last))
-    for shift in range(shifts[0], min(shifts[1], int(size.max(initial=0)))):
+    two = v["part"] >> 31 != v["part"] & ((1 << 31) - 1)
+    for shift in range(across(shifts), min(shifts[1], int(size.max(initial=0)))):
         x = x[x + shift < last[x]]
         # sizes ascend, so that one too large for x ends its comparisons
         x = x[least.denominator * n_words[x] >= least.numerator * n_words[x + shift]]
@@ -169,6 +180,7 @@ def near_pairs(v: dict[str, np.ndarray], shifts: tuple[int, int]) -> tuple[np.nd
         y = x + shift
         fits = (least.numerator + least.denominator) * np.minimum(rest[x], rest[y]) >= least.numerator * (n_words[x] + n_words[y])
         fits &= v["group"][x] != v["group"][y]
+        fits &= np.where(two[x], v["mine"][x] != v["mine"][y], shift >= shifts[0])
         found.append((x[fits], y[fits]))
     return tuple(np.concatenate(f) for f in zip(*found, strict=True))
 
@@ -185,7 +197,7 @@ def link_parts(batches, shifts: tuple[int, int]):
         once = order[run_starts(a[order], b[order])]
         yield record(LINKS, a[once], b[once])
 
-    for v in by_run(batches, "bucket", ["bucket", "part", "digest", "size", "rest", "group"]):
+    for v in by_run(batches, "bucket", ["bucket", "part", "mine", "digest", "size", "rest", "group"]):
         held.append(v)
         total += len(v["part"])
         if total > 30_000:
@@ -210,9 +222,12 @@ def candidates(rows: DataFrame, of: DataFrame | None, shifts: tuple[int, int]) -
     else:
         rows = rows.join(of.withColumnRenamed("id", "digest"), "digest", "left").withColumn("group", F.coalesce("component", "digest")).drop("component")
         open_ = rows.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n"))
-        rows = rows.join(open_.filter((F.col("lo") != F.col("hi")) & ((F.col("n") > shifts[0]))).select("bucket"), "bucket", "left_semi")
-    mine = F.pmod(F.xxhash64("digest", "bucket"), F.coalesce("n_parts", F.lit(1))).cast("int")
-    rows = rows.select("bucket", mine.alias("part"), "digest", "size", "rest", "group")
+        rows = rows.join(open_.filter((F.col("lo") != F.col("hi")) & (F.col("n") > across(shifts))).select("bucket"), "bucket", "left_semi")
+    mine = F.coalesce(F.pmod(F.xxhash64("digest", "bucket"), F.col("n_parts")), F.lit(0)).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("n_parts") - 1), lambda j: F.least(mine, j) * F.lit(1 << 31) + F.greatest(mine, j))
+    own = mine * F.lit(1 << 31) + mine
+    parts = F.when(F.col("n_parts").isNull() | F.lit(of_first(shifts)), F.array(own)).otherwise(pairs)
+    rows = rows.select("bucket", F.explode(parts).alias("part"), mine.alias("mine"), "digest", "size", "rest", "group")
     dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "size", "digest")
     return dealt.mapInArrow(lambda b: link_parts(b, shifts), ddl(LINKS)).distinct()
 

@@ -24,3 +24,14 @@ def test_shared_boilerplate(spark):
     n = len(set(near_groups(texts).values()))
     assert n <= len(texts) - 50
     assert left(spark, texts) == n
+
+
+def test_oversized_buckets(spark):
+    """Each pair shares two buckets, which are over the size for one part."""
+    rng = random.Random(12)
+    texts = []
+    for i in range(150):
+        w = [f"v{i}x{rng.randrange(1000)}" for _ in range(9)]
+        texts += [" ".join(w), " ".join([*w, "tail"])]
+    assert len(set(near_groups(texts).values())) == 150
+    assert left(spark, texts, part=1) == 150
