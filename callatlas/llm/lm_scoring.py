@@ -1,19 +1,18 @@
 """Scores of texts by a weighted backoff automaton, learned from the corpus itself.
 
 The model is a smoothed bigram. The root state has an arc for every token, weighing the
-add-one unigram probability p1. Every word that makes up at least SHARE of the training
-tokens, and the start of a text, is a state of its own: it has an arc for each frequent
-word (or the end) that was seen after it, weighing
+add-one unigram probability p1. Every word of training, and the start of a text, is a
+state of its own: it has an arc for each word (or the end) that was seen after it, weighing
 
     (count - DISCOUNT) / total + left * p1,
 
 and a failure arc to the root that weighs `left`, the part of its mass that those arcs
 don't use. So each state's probabilities add up to one. A text is read once, left to right:
-the state is carried, failure arcs are followed and logarithms add up.
+each token takes its state's arc, or the failure arc and the root's, and logarithms add up.
 
-States are at most 1 / SHARE, whatever the corpus; arcs and the vocabulary grow with it.
-So counts stay tables: each shard of texts sends its n-grams once, gets back the totals
-of just those, and builds the part of the automaton that its texts can reach.
+States and arcs grow with the corpus, so counts stay tables. Words and pairs are 64-bit
+hashes. Each shard of texts sends its n-grams once and gets back the totals of those that
+other shards have too; for its other n-grams its own counts are the totals.
 
 Defined results: a null text is empty; it has one token, its end. Rows with equal or null
 doc_ids are separate texts; a null doc_id isn't held out. An empty table gives no rows.
@@ -22,24 +21,23 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from itertools import pairwise
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, ddl, keep, load, record, sharded, unpacked_each
+from .common import NO_ID, by_run, chunks, ddl, keep, load, record, run_starts, sharded
+from .grams import SIZE_1, SIZE_2, mix, words
 
 FOLDS, HELD_OUT = 7, 2
-SHARE = 1e-4
 DISCOUNT = 0.75
 SHARD_BYTES = 8 << 20
-#: The end of a text, and its start as a state. No word contains a space.
-END, START = b" e", b" s"
-#: n-grams as (before, token); before is empty for a single token.
-GRAMS = [("before", "binary"), ("token", "binary"), ("shard", "int"), ("n", "long")]
+#: The end of a text, and its start as a state; no word's hashes but by chance.
+END, START = mix(np.array([2, 3], np.uint64) * SIZE_2)
+#: n-grams as hashes; before is 0 for a single token.
+GRAMS = [("gram", "long"), ("before", "long"), ("shard", "int"), ("n", "long")]
+#: kind 0: a word's total, for a shard that has it; 1: a pair's; 2: arcs of a state; 3: training tokens and distinct ones (in `gram`).
+FOUND = [("kind", "int"), ("shard", "int"), ("gram", "long"), ("n", "long")]
 SCORES = [("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double")]
 
 
@@ -47,120 +45,116 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Lower-cases A-Z only, as bytes do."""
-    return [*text.lower().split(), END]
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, the state before it, text number) of all texts. Lower-cases A-Z only, as bytes do."""
+    h, _, _, text, _ = words([t.lower() for t in texts])
+    size = np.bincount(text, minlength=len(texts)) + 1
+    token = np.full(size.sum(), END, np.uint64)
+    token[np.arange(len(h)) + text] = h
+    before = np.concatenate([token[:1], token[:-1]])
+    before[np.cumsum(size) - size] = START
+    return token, before, np.repeat(np.arange(len(texts)), size)
 
 
-def count_words(batches):
-    """A partition's words with their counts, some at a time."""
-    counts: Counter = Counter()
-    for b in batches:
-        for text in b.column("text"):
-            counts.update(tokens(text.as_py() or b""))
-            if len(counts) > 400_000:
-                yield record([("token", "binary"), ("n", "long")], list(counts), list(counts.values()))
-                counts.clear()
-    yield record([("token", "binary"), ("n", "long")], list(counts), list(counts.values()))
+def pair_of(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix(before * SIZE_1 + token)
 
 
-def arcs_taken(words: list[bytes], states: frozenset) -> list[tuple[bytes, bytes]]:
-    """The pairs of a state and a frequent word or the end, in reading order."""
-    return [pair for pair in pairwise([START, *words]) if pair[0] in states and pair[1] in states]
+def summed(shard: np.ndarray, gram: np.ndarray, before: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((before, gram, shard))
+    shard, gram, before, n = (a[order] for a in (shard, gram, before, n))
+    at = run_starts(shard, gram, before)
+    return shard[at], gram[at], before[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def shard_grams(batches, states: frozenset):
-    """Each shard's words, and its training counts of pairs; a count of 0 only asks for the total."""
-    words: dict[int, set] = {}
-    pairs: dict[int, Counter] = {}
+def shard_grams(batches):
+    """Each shard's words and pairs with their training counts; a count of 0 only asks for the total."""
+    held = []
     for b in batches:
-        for shard, out, text in zip(b.column("shard").to_pylist(), b.column("out").to_pylist(), unpacked_each(b.column("z").to_pylist()), strict=True):
-            read = tokens(text)
-            words.setdefault(shard, set()).update(read)
-            taken = arcs_taken(read, states)
-            pairs.setdefault(shard, Counter()).update(dict.fromkeys(taken, 0) if out else taken)
-    for shard, known in words.items():
-        yield record(GRAMS, [b""] * len(known), list(known), [shard] * len(known), [0] * len(known))
-        p = pairs[shard]
-        yield record(GRAMS, [a for a, _ in p], [b for _, b in p], [shard] * len(p), list(p.values()))
-
-
-class Automaton:
-    """The states and arcs that the texts of one shard can reach.
-
-    rest: for each state, how often it was left in training, and the part of its mass its arcs don't use.
-    """
-
-    def __init__(self, totals: pd.DataFrame, n_tokens: int, n_words: int, rest: dict[bytes, tuple[int, float]]):
-        below = n_tokens + n_words + 1
-        self.unknown = math.log10(1 / below)
-        self.root, pairs = {}, []
-        for before, token, n in zip(totals.before, totals.token, totals.n.tolist(), strict=True):
-            if before:
-                pairs.append((before, token, n))
-            else:
-                self.root[token] = math.log10((n + 1) / below)
-        self.failure = {state: math.log10(left) for state, (_, left) in rest.items()}
-        self.arcs: dict[bytes, dict[bytes, float]] = {state: {} for state in rest}
-        for before, token, n in pairs:
-            total, left = rest[before]
-            self.arcs[before][token] = math.log10((n - DISCOUNT) / total + left * 10 ** self.root[token])
-
-    def score(self, words: list[bytes]) -> tuple[int, float, float]:
-        """(known tokens, the root's score, the automaton's score)"""
-        known, base, total, state = 0, 0.0, 0.0, START
-        root, arcs, failure, unknown = self.root, self.arcs, self.failure, self.unknown
-        for w in words:
-            alone = root.get(w)
-            if alone is None:
-                alone = unknown
-            else:
-                known += 1
-            base += alone
-            out = arcs.get(state)
-            if out is None:  # the root
-                total += alone
-            elif (arc := out.get(w)) is not None:
-                total += arc
-            else:
-                total += failure[state] + alone
-            state = w
-        return known, base, total
-
-
-def score_shard(docs: pd.DataFrame, totals: pd.DataFrame, n_tokens: int, n_words: int, rest: dict) -> pd.DataFrame:
-    automaton, rows = Automaton(totals, n_tokens, n_words, rest), []
-    for doc_id, out, text in zip(docs.doc_id.tolist(), docs.out.tolist(), unpacked_each(docs.z), strict=True):
-        words = tokens(text)
-        rows.append((doc_id, out, len(words), *automaton.score(words)))
-    made = pd.DataFrame(rows, columns=[n for n, _ in SCORES])
+        shards, out = b.column("shard").to_numpy(), b.column("out").to_numpy(zero_copy_only=False).astype(bool)
+        for row, texts in chunks(b.column("z").to_pylist()):
+            token, before, of = tokens(texts)
+            shard, n = shards[row + of], (~out[row + of]).astype(np.int64)
+            held.append(summed(*(np.concatenate(x) for x in ((shard, shard), (token, pair_of(before, token)), (np.zeros_like(before), before), (n, n)))))
+    if held:
+        shard, gram, before, n = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield record(GRAMS, gram, before, shard, n)
+
+
+def joined_grams(batches):
+    for v in by_run(batches, "gram", ["gram", "before", "shard", "n"]):
+        at = run_starts(v["gram"], v["before"])
+        total, many = np.add.reduceat(v["n"], at), np.diff(np.append(at, len(v["gram"])))
+        single = v["before"][at] == 0
+        back = np.repeat((total > 0) & (many > 1), many)
+        state, arcs = np.unique(v["before"][at][~single & (total > 0)], return_counts=True)
+        kind = np.where(v["before"] == 0, 0, 1)[back].astype(np.int32)
+        yield record(FOUND, kind, v["shard"][back], v["gram"][back], np.repeat(total, many)[back])
+        none = np.full(len(state), -1, np.int32)
+        yield record(FOUND, np.full(len(state), 2, np.int32), none, state, arcs)
+        yield record(FOUND, np.array([3], np.int32), np.array([-1], np.int32), np.array([(total[single] > 0).sum()]), np.array([total[single].sum()]))
+
+
+def replaced(own: np.ndarray, values: np.ndarray, key: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """own: sorted keys with their values, which those of `key` replace."""
+    at = np.searchsorted(own, key)
+    out = values.copy()
+    out[at] = value
+    return out
+
+
+def score_shard(docs: pd.DataFrame, found: pd.DataFrame, n_tokens: int, n_words: int, starts: int, start_arcs: int) -> pd.DataFrame:
+    if not len(docs):
+        return pd.DataFrame({n: [] for n, _ in SCORES})
+    parts = [(*tokens(texts), row) for row, texts in chunks(docs.z)]
+    token, before = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    of = np.concatenate([p[2] + p[3] for p in parts])
+    train = ~docs.out.to_numpy(bool)[of]
+    below = n_tokens + n_words + 1
+
+    kind, gram, n = found.kind.to_numpy(), found.gram.to_numpy(np.int64).view(np.uint64), found.n.to_numpy(np.int64)
+    word, word_of = np.unique(token, return_inverse=True)
+    count = np.bincount(word_of, train, len(word)).astype(np.int64)
+    pair, first, pair_no = np.unique(pair_of(before, token), return_index=True, return_inverse=True)
+    seen = np.bincount(pair_no, train, len(pair)).astype(np.int64)
+    # a state's arcs: its own shard's, unless other shards have the word
+    states = np.append(word, START)
+    order = np.argsort(states)
+    states = states[order]
+    total, arcs = np.append(count, starts)[order], np.zeros(len(states), np.int64)
+    np.add.at(arcs, np.searchsorted(states, before[first][seen > 0]), 1)
+    word_back = kind == 0
+    count = replaced(word, count, gram[word_back], n[word_back])
+    total = replaced(states, total, gram[word_back], n[word_back])
+    arcs = replaced(states, arcs, gram[word_back], found.arcs.to_numpy(np.int64)[word_back])
+    arcs[np.searchsorted(states, START)] = start_arcs
+    seen = replaced(pair, seen, gram[kind == 1], n[kind == 1])
+
+    p1 = ((count + 1) / below)[word_of]
+    state = np.searchsorted(states, before)
+    t = np.maximum(total, 1)[state]
+    c = seen[pair_no]
+    p = np.where(total[state] > 0, np.maximum(c - DISCOUNT, 0) / t + DISCOUNT * arcs[state] / t * p1, p1)
+    add = lambda x: np.bincount(of, x, len(docs))
+    made = pd.DataFrame({"doc_id": docs.doc_id.to_numpy(), "held_out": docs.out.to_numpy(bool), "n_tokens": add(None), "n_known": add(count[word_of] > 0).astype(np.int64), "base_score": add(np.log10(p1)), "score": add(np.log10(p))})
     return made.assign(doc_id=made.doc_id.astype("Int64").mask(made.doc_id == NO_ID))
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)"""
+def scored(docs: DataFrame, size: int = SHARD_BYTES) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). size: of a shard"""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("out", held_out())
-    unigrams = d.filter(~F.col("out")).select(F.col("text").cast("binary").alias("text")).mapInArrow(count_words, "token binary, n long")
-    unigrams = keep(unigrams.groupBy("token").agg(F.sum("n").alias("n")))
-    n_tokens, n_words = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # at most 1 / SHARE rows and the end
-    top = unigrams.filter((F.col("n") >= SHARE * n_tokens) | (F.col("token") == F.lit(END)))
-    frequent = {bytes(r.token): r.n for r in top.collect()}
-    states = frozenset({START, END, *frequent})
-
-    s = sharded(d, carry=("out",), size=SHARD_BYTES)
-    grams = keep(s.mapInArrow(lambda b: shard_grams(b, states), ddl(GRAMS)))
-    pairs = grams.filter("octet_length(before) > 0").groupBy("before", "token").agg(F.sum("n").alias("n")).filter("n > 0")
-    pairs = keep(pairs)
-    total = {**frequent, START: frequent.get(END, 0)}
-    rest = {}
-    for r in pairs.groupBy("before").agg(F.sum("n").alias("n"), F.count("*").alias("arcs")).collect():
-        t = total[bytes(r.before)]
-        rest[bytes(r.before)] = (t, (t - r.n + DISCOUNT * r.arcs) / t)
-
-    all_grams = unigrams.select(F.lit(b"").alias("before"), "token", "n").unionByName(pairs)
-    totals = grams.select("before", "token", "shard").join(all_grams, ["before", "token"]).select("shard", "before", "token", "n")
-    out = s.groupBy("shard").cogroup(totals.groupBy("shard")).applyInPandas(lambda a, b: score_shard(a, b, n_tokens, n_words, rest), ddl(SCORES))
+    s = sharded(d, carry=("out",), size=size)
+    grams = s.mapInArrow(shard_grams, ddl(GRAMS))
+    found = keep(grams.repartition("gram").sortWithinPartitions("gram", "before").mapInArrow(joined_grams, ddl(FOUND)))
+    n_words, n_tokens = found.filter("kind = 3").agg(F.coalesce(F.sum("gram"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    arcs = keep(found.filter("kind = 2").groupBy("gram").agg(F.sum("n").alias("arcs")))
+    start = arcs.filter(F.col("gram") == int(START.view(np.int64))).first()
+    starts = d.filter(~F.col("out")).count()
+    start_arcs = start.arcs if start else 0
+
+    back = found.filter("kind = 0").join(arcs, "gram", "left").select("shard", "kind", "gram", "n", F.coalesce("arcs", F.lit(0)).alias("arcs"))
+    totals = back.unionByName(found.filter("kind = 1").select("shard", "kind", "gram", "n", F.lit(0).cast("long").alias("arcs")))
+    out = s.groupBy("shard").cogroup(totals.groupBy("shard")).applyInPandas(lambda a, b: score_shard(a, b, n_tokens, n_words, starts, start_arcs), ddl(SCORES))
     return out.withColumn("train_tokens", F.lit(n_tokens).cast("long"))
 
 
