@@ -22,22 +22,41 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees. A folder of our own only where the session names none."""
+    """The folder every executor sees. A folder of our own only in local mode, where the session may name none."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new place in the shared folder, which goes when the session's JVM ends."""
+    at = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
 def keep(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it again, which cuts the lineage.
 
-    Files survive the loss of executors. They stay until the folder is cleaned.
+    Files survive the loss of executors. They stay until discard() or the end of the session.
     """
-    at = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    at = shared_path(df.sparkSession)
     df.write.option("compression", codec).parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    kept = df.sparkSession.read.schema(df.schema).parquet(at)
+    kept.kept_at = at
+    return kept
+
+
+def discard(kept: DataFrame) -> None:
+    """Deletes a table of keep() that nothing will read any more."""
+    spark = kept.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(kept.kept_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_or_last(name: str = "doc_id") -> Column:
@@ -64,13 +83,13 @@ def _packed(batches, keep_columns):
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep_columns), pa.array(z, pa.binary())], names=[*keep_columns, "z"])
 
 
-def sharded(docs: DataFrame, carry: tuple[str, ...] = (), size: int | None = None) -> DataFrame:
+def sharded(docs: DataFrame, carry: tuple[str, ...] = (), size: int | None = None, n_bytes: int | None = None) -> DataFrame:
     """(shard, doc_id, carried columns, z): the whole texts, compressed, dealt by a hash of id and text.
 
     Plans that read the result several times share one exchange. A shard is what one task
     looks at together, so that what a key has in a shard can be summed up before a shuffle.
     """
-    n = n_shards(text_bytes(docs), size or SHARD_LEAST)
+    n = n_shards(text_bytes(docs) if n_bytes is None else n_bytes, size or SHARD_LEAST)
     columns = ["shard", "doc_id", *carry]
     raw = docs.select(
         F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(n)).cast("int").alias("shard"),

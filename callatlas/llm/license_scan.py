@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ddl, load, record
-from .grams import SIZE_1, Spans, byte_values, joined, mix
+from .grams import joined, span_hashes
 
 SCANNED = [("doc_id", "long"), ("n_words", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base_labels", "string"), ("labels", "string"), ("score", "double")]
 
@@ -152,8 +152,7 @@ def hashes(texts: list[bytes]):
     buf, at = joined(texts)
     edge = np.diff(np.concatenate([[0], word_bytes()[buf].view(np.int8), [0]]).astype(np.int8))
     first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    h = mix(Spans(byte_values()[buf]).hash(first, end) + (end - first).astype(np.uint64) * SIZE_1)
-    return h, first, end, np.searchsorted(at, first, "right") - 1
+    return span_hashes(buf, first, end), first, end, np.searchsorted(at, first, "right") - 1
 
 
 class Scanner:

@@ -3,15 +3,17 @@
 Fingerprints are made without a shuffle. Equal fingerprints become one class at once. If
 two fingerprints differ in at most `radius` of 64 bits, then of any `radius` + g blocks of
 bits at least g agree, so every set of g blocks is a table in which such pairs share a
-bucket. Within buckets, bit planes are stored vertically, 64 fingerprints to a word, and
-all distances at one shift are counted at once by carry-save counters, plane by plane; words
-in which every lane is over the radius are abandoned. Buckets with more than CHUNK members
-are compared by pairs of chunks. Only a forest of links leaves a bucket.
+bucket. A bucket with more than CHUNK members is divided by its remaining bits in the same
+way: of `radius` + 1 blocks of these at least one agrees. Within buckets, bit planes are
+stored vertically, 64 fingerprints to a word, and all distances at one shift are counted at
+once by carry-save counters, plane by plane; words in which every lane is over the radius
+are abandoned. What is still larger than CHUNK after LEVELS divisions is compared by pairs
+of chunks. Only a forest of links leaves a bucket.
 
 Defined results: a null or blank text has fingerprint zero, which links like any other. A
 null doc_id counts as the largest; a component of such rows only has component null. Rows
-with equal doc_ids stay separate rows. An empty table gives no rows. Other columns are
-ignored.
+with equal doc_ids stay separate rows. A bit that half of the hashes have is 0. Very long
+texts are read whole. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, by_run, ddl, id_or_last, keep, load, record, run_starts
 from .components import components, unite
+from .grams import SIZE_1, mix
 
-CHUNK = 2048
+CHUNK, LEVELS = 2048, 2
 LINKS = [("a", "long"), ("b", "long")]
 BIT_COUNT_EVERY = 8
 
@@ -82,33 +85,68 @@ def planes(fp: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_at_shift(sliced: np.ndarray, shift: int, lanes: np.ndarray, radius: int) -> np.ndarray:
-    """Of the lanes set in `lanes` (bit i: fingerprint i), those within the radius of the one `shift` later."""
-    q, r = divmod(shift, 64)
-    at = np.flatnonzero(lanes)
-    at = at[at + q < sliced.shape[1]]
-    open_ = lanes[at]
-    depth = max(1, radius.bit_length())
-    counter = np.zeros((depth, len(at)), np.uint64)
+def lanes_within(differing, n_planes: int, at: np.ndarray, open_: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the lanes open_ in the words `at`, those with at most `radius` differing bits, and their words. differing(b, at): plane b of the differences."""
+    counter = np.zeros((max(1, radius.bit_length()), len(at)), np.uint64)
     over = np.zeros(len(at), np.uint64)
-    full = sliced.shape[1] - 1
-    for b, row in enumerate(sliced):
-        later = row[at + q] >> np.uint64(r)
-        if r:
-            later |= row[np.minimum(at + q + 1, full)] << np.uint64(64 - r)
-        carry = row[at] ^ later
+    for b in range(n_planes):
+        carry = differing(b, at)
         for c in counter:
             c[:], carry = c ^ carry, c & carry
         over |= carry
         if b % BIT_COUNT_EVERY == BIT_COUNT_EVERY - 1:
-            live = open_ & ~(over | above(counter, radius))
-            stay = live != 0
+            stay = open_ & ~(over | above(counter, radius)) != 0
             if not stay.all():
                 at, open_, over, counter = at[stay], open_[stay], over[stay], counter[:, stay]
                 if not len(at):
                     break
+    return at, open_ & ~(over | above(counter, radius))
+
+
+def near_at_shift(sliced: np.ndarray, shift: int, lanes: np.ndarray, radius: int) -> np.ndarray:
+    """Of the lanes set in `lanes` (bit i: fingerprint i), those within the radius of the one `shift` later."""
+    q, r = divmod(shift, 64)
+    at, full = np.flatnonzero(lanes), sliced.shape[1] - 1
+    at = at[at + q < sliced.shape[1]]
+
+    def differing(b, at):
+        later = sliced[b][at + q] >> np.uint64(r)
+        if r:
+            later |= sliced[b][np.minimum(at + q + 1, full)] << np.uint64(64 - r)
+        return sliced[b][at] ^ later
+
+    at, live = lanes_within(differing, len(sliced), at, lanes[at], radius)
     out = np.zeros(len(lanes), np.uint64)
-    out[at] = open_ & ~(over | above(counter, radius))
+    out[at] = live
+    return out
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which of the pairs of fingerprints, given as rows of words, are within the radius."""
+    out = np.zeros(len(a), bool)
+    for lo in range(0, len(a), 1 << 17):
+        x = a[lo : lo + (1 << 17)] ^ b[lo : lo + (1 << 17)]
+        sliced = planes(x)
+        lanes = np.zeros(sliced.shape[1], np.uint64)
+        lanes[:-1] = as_lanes(np.ones(len(x), bool))
+        every = np.flatnonzero(lanes)
+        at, live = lanes_within(lambda k, at: sliced[k][at], len(sliced), every, lanes[every], radius)  # noqa: B023
+        lanes[:] = 0
+        lanes[at] = live
+        out[lo : lo + len(x)] = np.unpackbits(lanes[:-1].view(np.uint8), bitorder="little")[: len(x)]
+    return out
+
+
+def wide_fingerprints(shingles: np.ndarray, of: np.ndarray, n: int, n_words: int) -> np.ndarray:
+    """Fingerprints of 64 n_words bits for n texts. shingles: hashes of each text's, one after the other; of: the text of each"""
+    size, out = np.bincount(of, minlength=n), np.zeros((n, n_words), np.uint64)
+    for w in range(n_words):
+        count = np.zeros((n, 64), np.int64)
+        for lo in range(0, len(of), 1 << 17):
+            x, text = mix(shingles[lo : lo + (1 << 17)] + np.uint64(w) * SIZE_1), of[lo : lo + (1 << 17)]
+            at = run_starts(text)
+            count[text[at]] += np.add.reduceat(np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), at, axis=0, dtype=np.int32)
+        out[:, w] = np.packbits(2 * count > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 
@@ -178,44 +216,78 @@ def link_buckets(batches, radius: int):
         yield from flush()
 
 
-def tables(radius: int, n: int) -> list[list[tuple[int, int]]]:
-    """The (shift, bits) of the agreeing blocks of each table, so that a random bucket has about one member or few."""
+def mask_of(bits) -> int:
+    """These bits, as a signed 64-bit number."""
+    mask = sum(1 << b for b in bits)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def tables(radius: int, n: int) -> list[int]:
+    """For each table the mask of the bits that agree in it, so that a random bucket has about one member or few."""
     need = max(8.0, math.log2(max(n, 2)) - 3)
     blocks = next(b for b in range(radius + 1, 65) if 64 // b * (b - radius) >= need or b >= radius + 6)
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    return [[(edges[i], edges[i + 1] - edges[i]) for i in which] for which in combinations(range(blocks), blocks - radius)]
+    return [mask_of(b for i in which for b in range(edges[i], edges[i + 1])) for which in combinations(range(blocks), blocks - radius)]
+
+
+def finer(mask: int, radius: int) -> list[int]:
+    """Masks that each add one of radius + 1 blocks of the remaining bits."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    cut = [len(rest) * i // (radius + 1) for i in range(radius + 2)]
+    had = [b for b in range(64) if mask >> b & 1]
+    return [mask_of(had + rest[cut[i] : cut[i + 1]]) for i in range(radius + 1)]
+
+
+def bucketed(classes: DataFrame, radius: int, n: int, chunk: int, levels: int) -> DataFrame:
+    """(bucket, fp, rep, n_chunks): n_chunks is null but for buckets that are over `chunk` after all levels."""
+    masks, done = tables(radius, n), []
+    keys = [F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))).alias("bucket")) for t, m in enumerate(masks)]
+    rows = classes.select("fp", "rep", F.explode(F.array(*keys)).alias("k")).select("fp", "rep", "k.*")
+    for level in range(levels + 1):
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > chunk)
+        hot = keep(sizes.select(F.col("bucket").alias("hot"), F.ceil(F.col("size") / chunk).cast("int").alias("n_chunks")))
+        if hot.isEmpty():
+            break
+        rows = rows.join(hot, rows.bucket == hot.hot, "left").drop("hot")
+        if level == levels:
+            return union([*done, rows.select("bucket", "fp", "rep", "n_chunks")])
+        done.append(rows.filter("n_chunks IS NULL").select("bucket", "fp", "rep", "n_chunks"))
+        next_ = [(t, t * (radius + 1) + i, m) for t, mask in enumerate(masks) for i, m in enumerate(finer(mask, radius))]
+        masks = [m for *_, m in next_]
+        by = rows.sparkSession.createDataFrame(next_, "t int, t2 int, mask long")  # as many rows as masks: hundreds
+        rows = rows.filter("n_chunks IS NOT NULL").join(F.broadcast(by), "t")
+        rows = rows.select("fp", "rep", F.col("t2").alias("t"), F.xxhash64("bucket", "t2", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
+    return union([*done, rows.select("bucket", "fp", "rep", F.lit(None).cast("int").alias("n_chunks"))])
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def linked(classes: DataFrame, radius: int, n: int) -> DataFrame:
+def linked(classes: DataFrame, radius: int, n: int, chunk: int = CHUNK, levels: int = LEVELS) -> DataFrame:
     """Links (a, b) between classes (fp, rep), each a rep, that join all classes within the radius of each other."""
-    keys = []
-    for t, blocks in enumerate(tables(radius, n)):
-        key = F.lit(t).cast("long")
-        for shift, bits in blocks:
-            key = F.shiftleft(key, bits).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1)))
-        keys.append(key)
-    rows = classes.select("fp", "rep", F.explode(F.array(*keys)).alias("bucket"))
-    hot = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > CHUNK)
-    hot = hot.select(F.col("bucket").alias("hot"), F.ceil(F.col("size") / CHUNK).cast("int").alias("n_chunks"))
-    rows = rows.join(hot, rows.bucket == hot.hot, "left").drop("hot")
-    chunk = F.pmod(F.xxhash64("fp"), F.col("n_chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("n_chunks") - 1), lambda j: F.least(chunk, j) * F.lit(1 << 24) + F.greatest(chunk, j))
+    rows = bucketed(classes, radius, n, chunk, levels)
+    mine = F.pmod(F.xxhash64("fp"), F.col("n_chunks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("n_chunks") - 1), lambda j: F.least(mine, j) * F.lit(1 << 24) + F.greatest(mine, j))
     rows = rows.select("bucket", "fp", "rep", F.explode(F.when(F.col("n_chunks").isNull(), F.array(F.lit(-1))).otherwise(pairs)).alias("part"))
     schema = ddl(LINKS)
     return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "fp").mapInArrow(lambda b: link_buckets(b, radius), schema)
 
 
-def classified(each: DataFrame, radius: int) -> DataFrame:
+def classified(each: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
     """(fp, rep, component_id): each fingerprint with its smallest doc_id, and that of all it is linked to."""
     classes = keep(each.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    of = components(linked(classes, radius, classes.count()))
+    of = components(linked(classes, radius, classes.count(), chunk))
     return classes.join(of, classes.rep == of.id, "left").select("fp", "rep", F.coalesce("component", "rep").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, fp, component_id)"""
     each = keep(fingerprints(docs, shingle))
-    classes = classified(each, radius).select(F.col("fp").alias("class"), "component_id")
+    classes = classified(each, radius, chunk).select(F.col("fp").alias("class"), "component_id")
     no_id = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return each.join(classes, F.col("fp") == F.col("class")).select(no_id("doc_id"), "fp", no_id("component_id"))
 

@@ -1,15 +1,20 @@
 """Dedup of repeated byte strings with longest-previous-factor arrays.
 
-Windows of `window` bytes are dealt by the anchor they choose (see grams). An anchor that
-has one and the same segment everywhere needs no more than a count. Segments of other
-anchors are gathered, each text once for an anchor and shard; over a batch of them a
-suffix array is sorted, and previous and next smaller positions in suffix order give the
-longest earlier match of every window start. The same with positions reversed gives the
-longest later match, as here every copy goes, the first included. A bucket with more than
-HOT texts isn't brought together: its windows are counted one by one, by two hashes.
+Windows of `window` bytes are dealt by the anchor they choose (see grams). Segments of an
+anchor are gathered, each text once for an anchor and shard, and twice in the array if it
+occurs more than once; over a batch of them a suffix array is sorted, and previous and next
+smaller positions in suffix order give the longest earlier match of every window start. The
+same with positions reversed gives the longest later match, as here every copy goes, the
+first included. A window goes where one of the two is `window` bytes or more.
+
+Two kinds of anchors need no array. One that has one and the same segment everywhere, in
+several shards, is compared by a digest of its bytes. One with more than HOT different
+segments isn't brought together: its windows are counted one by one, by a digest of their
+bytes, so that no task gathers an unbounded group.
 
 Defined results: a null text is empty. Rows with equal or null doc_ids are separate
-documents. An empty table gives no rows. Columns not named in `carry` are ignored.
+documents. Very long texts are read whole, in the shard they fall into. An empty table gives
+no rows. Columns not named in `carry` are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NO_ID, by_run, chunks, ddl, load, record, run_starts, sharded
-from .grams import Segments, byte_values
+from .grams import Segments, Spans, byte_values, digests, mix
 from .substring_dedup import edge_keys, member
 
 PATHS = [("h", "long"), ("sh", "long"), ("shard", "int"), ("texts", "long")]
@@ -37,35 +42,37 @@ def segments_of(blobs, window: int, gram: int):
     for row, texts in chunks(blobs):
         text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         buf = b"".join(texts)
-        yield row, texts, buf, text, Segments(byte_values()[np.frombuffer(buf, np.uint8)], text, window, gram)
+        grams = mix(Spans(byte_values()[np.frombuffer(buf, np.uint8)]).all(gram))
+        yield row, texts, buf, text, Segments(grams, text, window, gram)
 
 
 # --- suffix arrays -----------------------------------------------------------------------------
 
 
-def ranks(buf: np.ndarray, window: int) -> dict[int, np.ndarray]:
-    """For sizes 8, 16, 32, ... the rank of the string of that size at each position, by doubling."""
+def ranks(buf: np.ndarray, window: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """For sizes 8, 16, 32, ... the rank of the string of that size at each position, by doubling; and the eight bytes themselves."""
     n = len(buf)
     padded = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | padded[j : j + n]
-    out, size = {}, 8
+    eight, out, size = key, {}, 8
     while True:
         order = np.argsort(key, kind="stable")
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], (np.diff(key[order]) != 0)]))
         out[size] = rank
         if size * 2 > window:
-            return out
+            return out, eight
         after = np.zeros(n, np.int64)
         after[: n - size] = rank[size:] + 1
         key = (rank * (n + 2) + after).astype(np.uint64)
         size *= 2
 
 
-def suffix_order(start: np.ndarray, level: dict[int, np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(start: np.ndarray, ranked: tuple[dict[int, np.ndarray], np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
     """The window starts in the order of their suffixes, and the common prefix with the one before, both up to `window`."""
+    level, eight = ranked
     parts, at = [], 0
     for size in sorted(level, reverse=True):
         while at + size <= window:
@@ -73,36 +80,43 @@ def suffix_order(start: np.ndarray, level: dict[int, np.ndarray], window: int) -
             at += size
     if at < window:  # a last part that overlaps
         parts.append((window - 8, 8))
-    keys = [level[size][start + at] for at, size in parts]
-    order = np.lexsort(keys[::-1])
-    sa = start[order]
-    common, here = np.zeros(len(sa), np.int64), np.ones(len(sa), bool)
-    here[:1] = False
-    for (at, size), k in zip(parts, keys, strict=True):
-        k = k[order]
-        same = here.copy()
-        same[1:] &= k[1:] == k[:-1]
-        common[same] = at + size
-        here = same
-    return sa, common
-
-
-def previous_factor(position: list[int], common: list[int]) -> list[int]:
+    sa = start[np.lexsort([level[size][start + at] for at, size in reversed(parts)])]
+    common, a, b = np.zeros(len(sa), np.int64), sa[1:], sa[:-1]
+    length = common[1:]
+    for size in sorted(level, reverse=True):
+        for _ in range(2 if size == max(level) else 1):
+            more = np.flatnonzero(length < window)
+            x, y = a[more] + length[more], b[more] + length[more]
+            length[more[level[size][x] == level[size][y]]] += size
+    more = np.flatnonzero(length < window)
+    apart = eight[a[more] + length[more]] ^ eight[b[more] + length[more]]
+    length[more] += sum((apart >> np.uint64(64 - 8 * j) == 0).astype(np.int64) for j in range(1, 8))
+    return sa, np.minimum(common, window)
+
+
+def previous_factor(position: np.ndarray, common: np.ndarray) -> np.ndarray:
     """For each suffix, in suffix order: the longest match that starts at a smaller position.
 
-    It is the longer of the matches with the previous and the next suffix of smaller position.
+    It is the longer of the matches with the previous and the next suffix of smaller
+    position. All suffixes look for these at once: one whose candidate has a larger position
+    goes on to that one's own candidate, as everything in between is larger still.
     """
-    out = [0] * len(position)
-    stack: list[tuple[int, int]] = []  # (suffix, common prefix with the one below)
-    for i, p in enumerate(position):
-        length = common[i] if i else 0
-        while stack and position[stack[-1][0]] > p:
-            top, below = stack.pop()
-            out[top] = max(out[top], length)
-            length = min(length, below)
-        out[i] = length if stack else 0
-        stack.append((i, length))
-    return out
+    return np.maximum(_smaller_before(position, common), _smaller_before(position[::-1], np.append(common[1:], 0)[::-1])[::-1])
+
+
+def _smaller_before(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The match with the last suffix before of smaller position. common: each one's match with the one before it."""
+    place = np.concatenate([[np.iinfo(np.int64).min], position])
+    candidate = np.arange(-1, len(position))
+    candidate[0] = 0
+    length = np.concatenate([[0], common])
+    length[1:2] = 0
+    open_ = np.arange(1, len(place))
+    while len(open_):
+        open_ = open_[(place[candidate[open_]] > place[open_]) & (length[open_] > 0)]
+        over = candidate[open_]
+        length[open_], candidate[open_] = np.minimum(length[open_], length[over]), candidate[over]
+    return length[1:]
 
 
 def repeated_windows(bodies: list[bytes], counts: np.ndarray, window: int) -> np.ndarray:
@@ -111,19 +125,10 @@ def repeated_windows(bodies: list[bytes], counts: np.ndarray, window: int) -> np
     buf = np.frombuffer(b"".join(bodies), np.uint8)
     first = np.concatenate([[0], np.cumsum([len(b) for b in bodies])[:-1]]).astype(np.int64)
     start = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    sa, common = suffix_order(start, ranks(buf, window), window)
-    long = np.zeros(len(buf), bool)
-    # a match of `window` is one with a neighbour in suffix order; shorter ones end the runs that the arrays are made for
-    full = common >= window
-    near = full.copy()
-    near[:-1] |= full[1:]
-    pick = np.flatnonzero(near)
-    if len(pick):
-        position, shared = sa[pick], np.where(full[pick], common[pick], 0)
-        earlier = previous_factor(position.tolist(), shared.tolist())
-        later = previous_factor((-position).tolist(), shared.tolist())
-        long[position] = np.maximum(earlier, later) >= window
-    return long[start]
+    position, common = suffix_order(start, ranks(buf, window), window)
+    longest = np.zeros(len(buf), np.int64)
+    longest[position] = np.maximum(previous_factor(position, common), previous_factor(-position, common))
+    return longest[start] >= window
 
 
 def in_batches(keys: np.ndarray, sizes: np.ndarray):
@@ -147,10 +152,10 @@ def shard_paths(batches, window: int, gram: int):
     found: dict[str, list] = {"shard": [], "h": [], "sh": []}
     for b in batches:
         shard = b.column("shard").to_numpy(zero_copy_only=False)
-        for row, _, _, _, s in segments_of(b.column("z").to_pylist(), window, gram):
+        for row, _, buf, _, s in segments_of(b.column("z").to_pylist(), window, gram):
             found["shard"].append(shard[row + s.text])
             found["h"].append(s.h)
-            found["sh"].append(s.sh)
+            found["sh"].append(digests(buf, s.first, s.end))
     if found["h"]:
         shard, h, sh = (np.concatenate(v) for v in found.values())
         order = np.lexsort((sh, h, shard))
@@ -185,16 +190,16 @@ def shard_bodies(docs: pd.DataFrame, found: pd.DataFrame, window: int, gram: int
     if len(docs) and len(mixed) + len(hot):
         for _, _, buf, _, s in segments_of(docs.z, window, gram):
             which = np.flatnonzero(member(s.h, mixed))
-            _, one, many = np.unique(s.sh[which], return_index=True, return_counts=True)
+            mine, one, many = np.unique(digests(buf, s.first[which], s.end[which]), return_index=True, return_counts=True)
             which = which[one]
             h.append(s.h[which])
-            sh.append(s.sh[which])
+            sh.append(mine)
             n.append(s.count[which])
             times.append(many)
-            bodies += [buf[a:b] for a, b in zip(s.first[which].tolist(), (s.first + s.count + window - 1)[which].tolist(), strict=True)]
+            bodies += [buf[a:b] for a, b in zip(s.first[which].tolist(), s.end[which].tolist(), strict=True)]
             which = np.flatnonzero(member(s.h, hot))
             at, start = s.windows(which)
-            x = s.window_hash(start)
+            x = digests(buf, start, start + window)
             k.append(edge_keys(s.h[which][at], x))
             w.append(x)
     if not h:
@@ -232,13 +237,13 @@ def joined_bodies(batches, window: int):
         for lo, hi in in_batches(k[at], size):
             rows = at[lo:hi]
             n_of = n[rows].astype(np.int64)
-            bits = bits_of(repeated_windows(list(body[rows]), n_of, window), n_of)
             end = np.append(at, len(k))[lo + 1 : hi + 1]
             many = end - rows
-            copies = np.add.reduceat(times, at)[lo:hi]
-            ones = [np.packbits(np.ones(c, bool)).tobytes() if m > 1 else b for c, m, b in zip(n_of.tolist(), copies.tolist(), bits, strict=True)]
+            again = np.flatnonzero(np.add.reduceat(times, at)[lo:hi] > 1)  # these are in the array twice
+            got = repeated_windows([*body[rows], *body[rows[again]]], np.concatenate([n_of, n_of[again]]), window)
+            bits = bits_of(got, n_of)
             pick = np.repeat(np.arange(len(rows)), many)
-            yield record(FOUND, shard[rows[0] : end[-1]], np.full(len(pick), 3, np.int32), k[rows[0] : end[-1]], w[rows[0] : end[-1]], [ones[i] for i in pick.tolist()])
+            yield record(FOUND, shard[rows[0] : end[-1]], np.full(len(pick), 3, np.int32), k[rows[0] : end[-1]], w[rows[0] : end[-1]], [bits[i] for i in pick.tolist()])
 
 
 def local_windows(h: np.ndarray, sh: np.ndarray, count: np.ndarray, body, window: int) -> np.ndarray:
@@ -250,16 +255,15 @@ def local_windows(h: np.ndarray, sh: np.ndarray, count: np.ndarray, body, window
     out = np.zeros(where[-1], bool)
     bucket = run_starts(h[one])
     alone = np.repeat(np.diff(np.append(bucket, len(one))) == 1, np.diff(np.append(bucket, len(one))))
-    part = {int(i): np.ones(count[i], bool) for i in one[times > 1]}
-    todo = one[~alone]
-    size = count[todo] + window - 1
-    if len(todo):
-        for lo, hi in in_batches(h[todo], size):
-            rows = todo[lo:hi]
-            got = repeated_windows([body(int(i)) for i in rows], count[rows], window)
-            cut = np.concatenate([[0], np.cumsum(count[rows])])
-            for j, i in enumerate(rows.tolist()):
-                part.setdefault(i, got[cut[j] : cut[j + 1]])
+    part: dict[int, np.ndarray] = {}
+    todo = one[~alone | (times > 1)]
+    again = dict(zip(one.tolist(), (times > 1).tolist(), strict=True))
+    for lo, hi in in_batches(h[todo], count[todo] + window - 1) if len(todo) else ():
+        rows = todo[lo:hi]
+        twice = np.array([i for i in rows.tolist() if again[i]], np.int64)
+        got = repeated_windows([body(int(i)) for i in [*rows, *twice]], np.concatenate([count[rows], count[twice]]), window)
+        cut = np.concatenate([[0], np.cumsum(count[rows])])
+        part |= {i: got[cut[j] : cut[j + 1]] for j, i in enumerate(rows.tolist())}
     for j in range(len(at)):
         if (p := part.get(int(one[j]))) is not None:
             for i in order[at[j] : at[j] + times[j]].tolist():
@@ -280,22 +284,25 @@ def cut_bytes(docs: pd.DataFrame, found: pd.DataFrame, window: int, gram: int, c
         starts = [s.windows(np.flatnonzero(member(s.h, paths)))[1]]
         which = np.flatnonzero(member(s.h, hot))
         at, start = s.windows(which)
-        w = s.window_hash(start)
+        w = digests(buf, start, start + window)
         starts.append(start[member(edge_keys(s.h[which][at], w) ^ w, single)])
         if bits:
             mixed = np.flatnonzero(member(s.h, np.sort(fk[kind == 1])))
-            for i, k, w1 in zip(mixed.tolist(), s.h[mixed].tolist(), s.sh[mixed].tolist(), strict=True):
+            for i, k, w1 in zip(mixed.tolist(), s.h[mixed].tolist(), digests(buf, s.first[mixed], s.end[mixed]).tolist(), strict=True):
                 if (b := bits.get((k, w1))) is not None:
                     starts.append(s.first[i] + np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8))))
         rest = np.flatnonzero(~member(s.h, elsewhere))
-        local.append((s.h[rest], s.sh[rest], s.count[rest], s.first[rest]))
+        local.append((s.h[rest], s.count[rest], s.first[rest]))
         per.append((row, texts, buf, text, starts))
     if per:
-        h, sh, count, first = (np.concatenate(x) for x in zip(*local, strict=True))
+        h, count, first = (np.concatenate(x) for x in zip(*local, strict=True))
         chunk = np.repeat(np.arange(len(local)), [len(x[0]) for x in local])
         known, times = np.unique(h, return_counts=True)
         pick = np.flatnonzero(member(h, known[times > 1]))
-        h, sh, count, first, chunk = (a[pick] for a in (h, sh, count, first, chunk))
+        h, count, first, chunk = (a[pick] for a in (h, count, first, chunk))
+        sh = np.zeros(len(h), np.uint64)
+        for c in np.unique(chunk).tolist():
+            sh[chunk == c] = digests(per[c][2], first[chunk == c], (first + count + window - 1)[chunk == c])
         got = local_windows(h, sh, count, lambda i: per[chunk[i]][2][first[i] : first[i] + count[i] + window - 1], window)
         at = np.repeat(np.arange(len(h)), count)
         start = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)

@@ -1,25 +1,32 @@
-"""WARC records in ZIP packages: written, and read back by ranges.
+"""WARC records in ZIP packages: written as files, and read back by ranges.
 
-An archive is a ZIP file with three members, stored as they are: archive/data.warc.gz (one
-gzip member for each record), indexes/index.cdxj (one line for each record, with its place
-in that member) and datapackage.json. A reader takes the end of the file, follows the
-ZIP64 locator if there is one, parses the central directory, finds where the members'
-data begin, and then asks for single records by offset and length. Nothing is extracted.
+An archive is a ZIP file in the shared folder with three members, stored as they are:
+archive/data.warc.gz (one gzip member for each record), indexes/index.cdxj (one line for
+each record, with its place in that member) and datapackage.json. A reader takes the end of
+the file, follows the ZIP64 locator if there is one, parses the central directory, finds
+where the members' data begin, and then asks for records by offset and length, neighbours
+together. Nothing is extracted. Digest and length of every payload are computed anew.
 
 Of pages with equal payloads, the one with the largest page_id is a response; the others
-are revisits without a payload, which keep the HTTP header and name that response.
+are revisits without a payload, which keep the HTTP header and name that response. A payload
+that many pages share is looked up in a broadcast table: those of over a hundred-thousandth
+of all pages, of which there are fewer than that number. Others meet by a shuffle.
 
 Defined results: a null html is an empty payload. A null page_id is smaller than any other.
 Rows that share the largest page_id of a payload are all responses. A null url is an empty
-one. An empty table makes no archive. Other columns are ignored.
+one. Very long pages are single records; an archive with one may be larger than others. An
+empty table makes no archive. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 import io
 import json
 import struct
+import uuid
 import zipfile
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
@@ -27,13 +34,17 @@ from urllib.parse import quote, unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ddl, keep, load, record
+from .common import ddl, keep, load, record, shared_path
 
 #: An archive is closed after so many bytes of payload.
-ARCHIVE_BYTES = 4 << 20
+ARCHIVE_BYTES = 8 << 20
+#: Neighbouring records are read together up to so many bytes.
+READ_BYTES = 1 << 20
+HOT_SHARE, HOT_LEAST = 100_000, 10_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Pages carry no time of capture, and archives should be the same from run to run.
 DATE = "2026-01-01T00:00:00Z"
+ARCHIVES = [("path", "string"), ("bytes", "long"), ("n_records", "long")]
 READ = [("page_id", "long"), ("url", "string"), ("payload", "binary"), ("payload_bytes", "long"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "long")]
 
 
@@ -77,28 +88,61 @@ def archive(records: list[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
-def _written(batches):
+def file_system(at: str):
+    """(file system, path) of a path or URI, such as file: or hdfs:"""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(at)
+
+
+def write_archive(folder: str, records: list[tuple[str, bytes]]) -> tuple[str, int, int]:
+    """(path, bytes, records). A file gets its name when it is whole; those of lost attempts have no row."""
+    system, at = file_system(folder)
+    system.create_dir(at, recursive=True)
+    name, raw = f"{uuid.uuid4().hex}.zip", archive(records)
+    with system.open_output_stream(f"{at}/.{name}") as out:
+        out.write(raw)
+    system.move(f"{at}/.{name}", f"{at}/{name}")
+    return f"{folder}/{name}", len(raw), len(records)
+
+
+def _written(batches, folder: str, most: int):
     held, size = [], 0
     for b in batches:
+        made = []
         for page_id, url, html, n, digest, top in zip(*(b.column(c) for c in ("page_id", "url", "html", "n_bytes", "digest", "top")), strict=True):
             page_id, top = page_id.as_py(), top.as_py()
             revisit = page_id != top
             payload = b"" if revisit else html.as_py() or b""
             held.append((f"urn:page:{'' if page_id is None else page_id}", warc_record(page_id, url.as_py(), payload, n.as_py(), digest.as_py(), top, revisit)))
             size += len(payload) + 500
-            if size >= ARCHIVE_BYTES:
-                yield record([("archive", "binary")], [archive(held)])
+            if size >= most:
+                made.append(write_archive(folder, held))
                 held, size = [], 0
+        if made:
+            yield record(ARCHIVES, *map(list, zip(*made, strict=True)))
     if held:
-        yield record([("archive", "binary")], [archive(held)])
+        yield record(ARCHIVES, *([x] for x in write_archive(folder, held)))
 
 
-def archives(pages: DataFrame) -> DataFrame:
-    """(archive binary): ZIP files of about ARCHIVE_BYTES of payload."""
+def with_response(pages: DataFrame, share: int = HOT_SHARE, least: int = HOT_LEAST) -> DataFrame:
+    """(page_id, url, html, n_bytes, digest, top): top is the response's page_id"""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
     p = p.withColumn("digest", base32_sha1("html")).withColumn("n_bytes", F.octet_length("html").cast("long"))
-    top = p.groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("top"))
-    return p.join(top, p.digest == top.of).select("page_id", "url", "html", "n_bytes", "digest", "top").mapInArrow(_written, "archive binary")
+    tops = keep(p.groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("top"), F.count("*").alias("n")))
+    most = max(least, (tops.agg(F.sum("n")).first()[0] or 0) // share)
+    hot = tops.filter(F.col("n") > most).select(F.col("of").alias("hot"), F.col("top").alias("hot_top"))
+    rows = p.join(F.broadcast(hot), p.digest == hot.hot, "left")
+    # rows that are served need no partner; their keys spread them
+    key = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.hex(F.xxhash64("page_id", "url"))))
+    rows = rows.withColumn("key", key).join(tops.filter(F.col("n") <= most).drop("n"), F.col("key") == F.col("of"), "left")
+    return rows.select("page_id", "url", "html", "n_bytes", "digest", F.coalesce("hot_top", "top").alias("top"))
+
+
+def archives(pages: DataFrame, most: int = ARCHIVE_BYTES) -> DataFrame:
+    """(path, bytes, n_records) of the archives of about `most` bytes of payload that hold the pages, written to the shared folder."""
+    folder = shared_path(pages.sparkSession)
+    return keep(with_response(pages).mapInArrow(lambda b: _written(b, folder, most), ddl(ARCHIVES)))
 
 
 # --- reading ------------------------------------------------------------------------------------
@@ -137,17 +181,26 @@ class Archive:
         if end < 0:
             raise ValueError("no end of central directory: this isn't a ZIP file")
         n, size, at = struct.unpack_from("<HII", tail, end + 10)
+        stop = tail_at + end  # where the directory, or the ZIP64 record after it, ends
         locator = end - 20
         if locator >= 0 and tail[locator : locator + 4] == b"PK\6\7":
             (where,) = struct.unpack_from("<Q", tail, locator + 8)
             big = source.read(where, 56)
+            if big[:4] != b"PK\6\6":  # bytes before the archive: the record is right before its locator
+                where = tail_at + locator - 56
+                big = source.read(where, 56)
             if big[:4] != b"PK\6\6":
                 raise ValueError("the ZIP64 locator points at no ZIP64 record")
             n, size, at = struct.unpack_from("<QQQ", big, 32)
+            stop = where
         elif n == 0xFFFF or 0xFFFFFFFF in (size, at):
             raise ValueError("ZIP64 values without a ZIP64 record")
+        #: offsets count from here
+        self.base = stop - size - at
+        if self.base < 0:
+            raise ValueError("broken central directory")
         self.entries: dict[str, tuple[int, int, int]] = {}
-        self._directory(source.read(at, size), n)
+        self._directory(source.read(self.base + at, size), n)
 
     def _directory(self, raw: bytes, n: int) -> None:
         at = 0
@@ -184,6 +237,7 @@ class Archive:
         header, size, method = self.entries[name]
         if method != 0:
             raise ValueError(f"{name} is compressed; only stored members have ranges")
+        header += self.base
         local = self.source.read(header, 30)
         if local[:4] != b"PK\3\4":
             raise ValueError(f"no local header for {name}")
@@ -199,10 +253,22 @@ class Archive:
 
     def records(self) -> Iterator[bytes]:
         base, size = self.locate(DATA)
+        run: list[tuple[int, int]] = []
         for _, offset, length in self.index():
             if offset + length > size:
                 raise ValueError("an index line points past the end of its member")
-            yield gzip.decompress(self.source.read(base + offset, length))
+            if run and (offset != sum(run[-1]) or offset + length - run[0][0] > READ_BYTES):
+                yield from self._ranges(base, run)
+                run = []
+            run.append((offset, length))
+        yield from self._ranges(base, run)
+
+    def _ranges(self, base: int, run: list[tuple[int, int]]) -> Iterator[bytes]:
+        """Records that follow each other, by one read."""
+        if run:
+            raw, at = self.source.read(base + run[0][0], sum(run[-1]) - run[0][0]), run[0][0]
+            for offset, length in run:
+                yield gzip.decompress(raw[offset - at : offset - at + length])
 
 
 def page_of(value: str | None) -> int | None:
@@ -223,25 +289,36 @@ def parse_record(raw: bytes) -> tuple:
     revisit = kind == "revisit"
     if not revisit and len(payload) != stated:
         raise ValueError("a payload is shorter than its header says")
-    refers = page_of(fields.get("WARC-Refers-To"))
-    return page_of(fields["WARC-Record-ID"]), unquote(fields["WARC-Target-URI"]), None if revisit else payload, stated, fields["WARC-Payload-Digest"].removeprefix("sha1:"), kind, refers
+    refers, digest = page_of(fields.get("WARC-Refers-To")), fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if not revisit and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+        raise ValueError("a payload doesn't give its digest")
+    return page_of(fields["WARC-Record-ID"]), unquote(fields["WARC-Target-URI"]), None if revisit else payload, stated, digest, kind, refers
 
 
 def _read(batches):
     for b in batches:
-        for x in b.column(0):
-            rows = [parse_record(raw) for raw in Archive(Buffer(x.as_py())).records()]
+        for at in b.column("path").to_pylist():
+            system, path = file_system(at)
+            rows, size = [], 0
+            with system.open_input_file(path) as handle:
+                for raw in Archive(File(handle)).records():
+                    rows.append(parse_record(raw))
+                    size += len(raw)
+                    if size > ARCHIVE_BYTES:
+                        yield record(READ, *map(list, zip(*rows, strict=True)))
+                        rows, size = [], 0
             if rows:
                 yield record(READ, *map(list, zip(*rows, strict=True)))
 
 
 def read_archives(stored: DataFrame) -> DataFrame:
-    """The records of archives, from the first column: the table that archives() gives, or Spark's binaryFile content."""
-    return stored.mapInArrow(_read, ddl(READ))
+    """The records of the archives at `path`. Archives are dealt evenly to tasks, as their paths are few bytes and much work."""
+    n, least = stored.count(), int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored.select("path").repartition(max(1, min(n, max(least, n // 16)))).mapInArrow(_read, ddl(READ))
 
 
 def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = keep(archives(load(spark, sf_dir, "pages")), codec="none")
+    stored = archives(load(spark, sf_dir, "pages"))
     return read_archives(stored).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
