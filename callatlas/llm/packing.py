@@ -3,11 +3,14 @@
 Documents are tokenized without a shuffle; longer ones than a sequence are cut. Pieces are
 dealt at random to groups of about GROUP, and each group is packed by itself: a piece goes
 where the sum, over the gaps that open sequences have left, of the squared number of
-sequences with that gap becomes smallest. Groups lose at most a few part-filled sequences
-each, and no task's work grows with the input.
+sequences with that gap becomes smallest. Sequences that a group leaves open go on: their
+pieces are dealt to fewer groups and packed again, until one group is left or a turn fills
+less than half. No task's work grows with the input, and the last groups alone leave gaps.
 
 Defined results: a null text is empty and so is one id 0. Rows with equal or null doc_ids
-are packed each for itself. An empty table gives no rows. Other columns are ignored.
+are packed each for itself. Very long texts are tokenized whole; pieces of equal length are
+placed in the order of a hash of their ids. An empty table gives no rows. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -22,12 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ddl, keep, load, record
+from .grams import BLANK, joined, span_hashes
 
 LENGTH = 2048
-GROUP = 8192
+GROUP, TURNS = 8192, 40
 PIECES = [("doc_id", "long"), ("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")]
-#: Tokens of this many different words are kept in a worker.
-CACHE = 600_000
+#: A worker forgets what it has learned once it knows so many different units.
+CACHE = 2_000_000
 
 
 def vocabulary() -> str:
@@ -41,51 +45,95 @@ def worker_state() -> types.ModuleType:
     return sys.modules.setdefault("_callatlas_worker", types.ModuleType("_callatlas_worker"))
 
 
-class Tokens:
-    """Texts as little-endian unsigned 32-bit ids.
+#: Byte classes for cuts: 1 letters, 2 digits, 3 ASCII punctuation but the apostrophe, which may begin an ending such as 's.
+KIND = np.zeros(256, np.int8)
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+KIND[0x30:0x3A] = 2
+KIND[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]] = 3
+
 
-    This vocabulary drops white space and never joins across it, so the ids of a text are
-    those of its parts between spaces and line feeds.
+def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end byte, text number) of each unit, and the bytes.
+
+    This vocabulary drops white space and never joins letters with digits, digits with each
+    other, or either with punctuation; cuts there and at ASCII white space leave the ids as
+    they are. It lower-cases, so ASCII units count as lower case; other units stay, since
+    composing accents comes before lower-casing.
     """
+    buf, at = joined(texts)
+    kind, blank = KIND[buf], BLANK[buf]
+    cut = np.ones(len(buf) + 1, bool)
+    a, b = kind[:-1], kind[1:]
+    cut[1:-1] = (blank[1:] != blank[:-1]) | ((a > 0) & (b > 0) & ((a != b) | (a == 2)))
+    edge = np.flatnonzero(cut)
+    some = ~blank[edge[:-1]]
+    first, end = edge[:-1][some], edge[1:][some]
+    foreign = np.concatenate([[0], np.cumsum(buf >= 0x80)])
+    plain = foreign[first] == foreign[end]
+    lower = np.frombuffer(buf.tobytes().lower(), np.uint8)
+    h = np.empty(len(first), np.uint64)
+    h[plain] = span_hashes(lower, first[plain], end[plain])
+    h[~plain] = span_hashes(buf, first[~plain], end[~plain])
+    return h, first, end, np.searchsorted(at, first, "right") - 1, buf
+
+
+class Tokens:
+    """Ids of texts. What different units give is learned once, in arrays sorted by their hashes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.between = self.one("\x01")
-
-    def one(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Many words in one call, with a character between them that has one id of its own."""
-        plain = [w for w in words if "\x01" not in w and "<|" not in w]
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" \x01 ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(ids == np.frombuffer(self.between, "<u4")[0]) if len(self.between) == 4 else []
-            if len(cut) == len(part) - 1:
-                raw, ends = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
-                self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)), strict=True))
-            else:
-                self.known.update((w, self.one(w)) for w in part)
-        self.known.update((w, self.one(w)) for w in words if "\x01" in w or "<|" in w)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        known = self.known
-        if len(known) + len(words - known.keys()) > CACHE:
-            known.clear()
-        new = words - known.keys()
-        if new:
-            # after a letter or digit, points and commas up to the end are tokens of their own
-            stems = {w: w.rstrip(".,") for w in new if w[-1:] in (".", ",")}
-            stems = {w: x for w, x in stems.items() if x and x[-1].isalnum()}
-            need = {*(new - stems.keys()), *stems.values(), *(w[len(x) :] for w, x in stems.items())}
-            self.learn(list(need - known.keys()))
-            known.update((w, known[x] + known[w[len(x) :]]) for w, x in stems.items())
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.between = self.whole(" \x01 ")
+        self.forget()
+
+    def forget(self) -> None:
+        self.hash, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def learned(self, new: list[str]) -> list[np.ndarray]:
+        """The ids of each unit. Many go in one call, with a character between them that has one id of its own."""
+        out: list[np.ndarray] = []
+        for lo in range(0, len(new), 2000):
+            part = new[lo : lo + 2000]
+            cut = ids = np.zeros(0, np.int64)
+            if len(self.between) == 1 and not any("\x01" in u for u in part):
+                ids = self.whole(" \x01 ".join(part))
+                cut = np.flatnonzero(ids == self.between[0])
+            out += np.split(ids, np.ravel([[c, c + 1] for c in cut]).astype(int))[::2] if len(cut) == len(part) - 1 else map(self.whole, part)
+        return out
+
+    def learn(self, hashes: np.ndarray, new: list[str]) -> None:
+        """hashes: sorted, of units not known yet."""
+        got = self.learned(new)
+        n = np.array([len(x) for x in got], np.int64)
+        at = len(self.ids) + np.cumsum(n) - n
+        place = np.searchsorted(self.hash, hashes)
+        self.hash, self.at, self.n = np.insert(self.hash, place, hashes), np.insert(self.at, place, at), np.insert(self.n, place, n)
+        self.ids = np.concatenate([self.ids, *got]).astype(np.uint32)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        odd = {i: self.whole(t) for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        h, first, end, of, buf = units([b"" if i in odd else t.encode() for i, t in enumerate(texts)])
+        unit, one, which = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.hash) + len(unit) > CACHE:
+            self.forget()
+        place = np.searchsorted(self.hash, unit)
+        fresh = np.flatnonzero(self.hash[np.minimum(place, len(self.hash) - 1)] != unit) if len(self.hash) else np.arange(len(unit))
+        if len(fresh):
+            raw = buf.tobytes()
+            self.learn(unit[fresh], [raw[a:b].decode() for a, b in zip(first[one[fresh]].tolist(), end[one[fresh]].tolist(), strict=True)])
+            place = np.searchsorted(self.hash, unit)
+        n = self.n[place][which]
+        before = np.cumsum(n) - n
+        ids = self.ids[np.repeat(self.at[place][which] - before, n) + np.arange(n.sum())]
+        ends = np.cumsum(np.bincount(of, n, len(texts)).astype(np.int64))
+        return [odd.get(i, x) for i, x in enumerate(np.split(ids, ends[:-1]))] if texts else []
 
 
 def tokens(path: str) -> Tokens:
@@ -110,8 +158,8 @@ def cut_pieces(batches, path: str, length: int):
             part = b.slice(at, end - at)
             texts = [t or "" for t in part.column("text").to_pylist()]
             out: list[tuple] = []
-            for doc_id, data in zip(part.column("doc_id").to_pylist(), tokenizer.encode(texts), strict=True):
-                data = memoryview(data + b"\0\0\0\0")
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokenizer.encode(texts), strict=True):
+                data = memoryview(ids.astype("<u4").tobytes() + b"\0\0\0\0")
                 for piece, start in enumerate(range(0, len(data) // 4, length)):
                     part_of = data[4 * start : 4 * (start + length)]
                     out.append((doc_id, piece, start, len(part_of) // 4, zlib.crc32(part_of)))
@@ -148,7 +196,7 @@ def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     return sequence, offset, n
 
 
-def pack_group(rows: pd.DataFrame, length: int) -> pd.DataFrame:
+def pack_group(rows: pd.DataFrame, length: int, turn_no: int) -> pd.DataFrame:
     """Packs a group in falling order of length and in hash order, and keeps what takes fewer sequences."""
     order = np.lexsort((rows.start, rows.doc_id.fillna(-1), rows.ids_crc32))
     rows = rows.iloc[order].reset_index(drop=True)
@@ -160,7 +208,13 @@ def pack_group(rows: pd.DataFrame, length: int) -> pd.DataFrame:
             back = np.empty(len(turn), np.int64)
             back[turn] = np.arange(len(turn))
             best = sequence[back], offset[back], n
-    return rows.assign(sequence_id=rows.group.to_numpy(np.int64) * (1 << 32) + best[0], offset=best[1]).drop(columns="group")
+    gap = length - np.bincount(best[0], sizes).astype(np.int64)
+    number = (turn_no << 56) + rows.group.to_numpy(np.int64) * (1 << 24) + best[0]
+    return rows.assign(sequence_id=number, offset=best[1], gap=gap[best[0]]).drop(columns="group")
+
+
+def packer(length: int, turn_no: int):
+    return lambda rows: pack_group(rows, length, turn_no)
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -169,17 +223,29 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: cut_pieces(b, at, length), ddl(PIECES))
 
 
-def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """The pieces with sequence_id and offset."""
+def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH, size: int = GROUP) -> DataFrame:
+    """The pieces with sequence_id and offset. size: pieces in a group"""
     all_pieces = keep(pieces(docs, path, length))
-    n = max(1, -(-all_pieces.filter(F.col("length") < length).count() // GROUP))
     # a full piece is a sequence of its own; ids below zero are theirs
     full = all_pieces.filter(F.col("length") == length)
-    full = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(n)).cast("int")
-    rest = all_pieces.filter(F.col("length") < length).withColumn("group", group)
-    schema = ddl([*PIECES, ("sequence_id", "long"), ("offset", "long")])
-    return full.unionByName(rest.groupBy("group").applyInPandas(lambda rows: pack_group(rows, length), schema))
+    done = [full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))]
+    todo, before = all_pieces.filter(F.col("length") < length), None
+    schema = ddl([*PIECES, ("sequence_id", "long"), ("offset", "long"), ("gap", "long")])
+    for turn in range(TURNS):
+        n = todo.count()
+        groups = max(1, -(-n // size))
+        group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length", F.lit(turn)), F.lit(groups)).cast("long")
+        placed = todo.withColumn("group", group).groupBy("group").applyInPandas(packer(length, turn), schema)
+        if groups == 1 or turn == TURNS - 1 or (before is not None and n > before // 2):
+            done.append(placed.drop("gap"))
+            break
+        placed, before = keep(placed), n
+        done.append(placed.filter("gap = 0").drop("gap"))
+        todo = placed.filter("gap > 0").drop("sequence_id", "offset", "gap")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
