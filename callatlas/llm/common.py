@@ -77,7 +77,7 @@ def _packed(batches, keep_columns):
     import pyarrow as pa
     import zstandard
 
-    put = zstandard.ZstdCompressor(level=1).compress
+    put = zstandard.ZstdCompressor(level=3).compress
     for b in batches:
         z = [None if x is None else put(x) for x in b.column("bytes").to_pylist()]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep_columns), pa.array(z, pa.binary())], names=[*keep_columns, "z"])
