@@ -279,7 +279,7 @@ def remove_repeated_words(docs: DataFrame, window: int = 13, gram: int = 5, carr
     """
     d = sharded(docs, carry, size)
     paths = d.mapInArrow(lambda b: shard_paths(b, window, gram), ddl(PATHS))
-    found = paths.repartition("h").sortWithinPartitions("h").mapInArrow(joined_paths, ddl(FOUND))
+    found = keep(paths.repartition("h").sortWithinPartitions("h").mapInArrow(joined_paths, ddl(FOUND)))
     edges = keep(d.groupBy("shard").cogroup(found.groupBy("shard")).applyInPandas(lambda a, b: shard_edges(a, b, window, gram), ddl(EDGES)))
     later = edges.filter("kind = 2").select("k", "w", "shard", "lo").repartition("k").sortWithinPartitions("k", "w").mapInArrow(joined_edges, ddl(FOUND))
     nodes = edges.filter("kind = 0")
