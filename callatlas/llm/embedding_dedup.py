@@ -4,7 +4,7 @@ Vectors are compared as unit vectors, where a cosine of at least c is a distance
 reach = sqrt(2 - 2 c). Equal vectors of a label are one class with a count.
 
 The upper levels of a label's tree are tables. A node with over CHUNK members gets up to
-CHILDREN centres, the finest of nested covers of a sample, whose radii halve from level to
+CHILDREN centres, two for each CHUNK of them, of the finest of nested covers of a sample, whose radii halve from level to
 level; each member goes to its nearest centre, and the covering radius is the largest
 distance of all its members. A member also visits the children after its own whose
 covering radius and the reach don't rule them out, and a visitor goes on only to children
@@ -227,11 +227,12 @@ def cover(x: np.ndarray, radius: float, most: int) -> list[int]:
     return centres
 
 
-def pick_centres(rows, children: int):
-    """One row: the node and its centres, from a sample of its members. The finest cover of at most `children`, else as many of the first of several."""
+def pick_centres(rows, chunk: int, children: int):
+    """One row: the node and its centres, from a sample of its members. The finest cover of at most as many as leave half a chunk to each, else the first of several."""
     import pandas as pd
 
     x = vectors_of(rows.sort_values("rep"))
+    children = max(2, min(children, -(-2 * int(rows.n_members.iloc[0]) // chunk)))
     radius, chosen = 1.0, [0]
     while radius > 1e-9:
         finer = cover(x, radius, children)
@@ -295,7 +296,7 @@ def leaves(todo: DataFrame, reach: float, chunk: int, children: int) -> DataFram
         out.append(todo.join(sized(large, n).select("node"), "node", "left_anti"))
         rows = todo.join(sized(large, n), "node")
         some = F.col("member") & (F.pmod(F.xxhash64("rep", F.lit(level)), F.col("n_members")) < SAMPLE)
-        centres = keep(rows.filter(some).groupBy("node").applyInPandas(lambda r: pick_centres(r, children), "node string, centres array<double>, n int"))
+        centres = keep(rows.filter(some).groupBy("node").applyInPandas(lambda r: pick_centres(r, chunk, children), "node string, centres array<double>, n int"))
         # a node's rows in parts, each with the node's centres
         salts = F.ceil(F.col("n_rows") / (4 * chunk)).cast("int")
         dealt = rows.select("node", F.pmod(F.xxhash64("rep"), salts).cast("int").alias("salt"), "rep", "times", "v", "member")
