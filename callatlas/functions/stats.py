@@ -30,12 +30,24 @@ def _ln_fact(n: Column) -> Column:
     return series - shift
 
 
+#: Terms of the tail that are added; later ones are below 1e-17 of the largest by then, or there are none.
+TERMS_SPAN = 12.0
+
+
 def fisher_at_least(hits: Column, n: Column, other_hits: Column, other_n: Column) -> Column:
-    """One-sided exact p: that `hits` of n or more come from the pooled hits; 1 where a margin is empty."""
+    """One-sided exact p: that `hits` of n or more come from the pooled hits; 1 where a margin is empty.
+
+    Terms fall off at both sides of the mode at least as fast as a normal curve's, so those
+    within some TERMS_SPAN deviations of it (and of `hits`, if that is further out) are all that
+    count. That is a few times the square root of n, which memory holds at any n.
+    """
     pooled, total = hits + other_hits, n + other_n
-    most = F.least(n, pooled)
     log_p = lambda x: log_choose(n, x) + log_choose(other_n, pooled - x) - log_choose(total, pooled)
-    tail = F.aggregate(F.sequence(hits, most), F.lit(0.0), lambda acc, x: acc + F.exp(log_p(x)))
+    mean = n.cast("double") * pooled / total
+    spread = F.sqrt(mean * (1 - pooled / total) * (other_n.cast("double") / F.greatest(total - 1, F.lit(1)))) * TERMS_SPAN + 50
+    most = F.least(n, pooled, F.ceil(F.greatest(mean, hits.cast("double")) + spread).cast("long"))
+    least = F.greatest(hits, F.floor(mean - spread).cast("long"))
+    tail = F.aggregate(F.sequence(least, F.greatest(least, most)), F.lit(0.0), lambda acc, x: acc + F.exp(log_p(x)))
     empty = (n == 0) | (other_n == 0) | (pooled == 0) | (pooled == total)
     return F.when(empty, 1.0).otherwise(F.least(F.lit(1.0), tail))
 
@@ -43,4 +55,4 @@ def fisher_at_least(hits: Column, n: Column, other_hits: Column, other_n: Column
 def kappa_reading(k: Column) -> Column:
     """Words for Cohen's kappa."""
     out = F.when(k > 0.80, "almost perfect").when(k > 0.60, "substantial").when(k > 0.40, "moderate")
-    return out.when(k > 0.20, "fair").otherwise("slight")
+    return out.when(k > 0.20, "fair").otherwise("poor")

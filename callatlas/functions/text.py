@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 STOPWORDS = "the a an of to for and is call caller customer borrower agent request requests issue query about".split()
 SIMILAR = 0.5
 
-# Fixed values: (tag, pattern), the most specific first; where matches overlap, the earlier pattern wins.
+# Tags with their patterns. A match of an earlier line beats overlapping matches of later ones.
 PII = [
     ("REDACTED_SECRET", r"(?i)\b(?:api[-_]?key|subscription[-_]?key|authorization|auth|bearer|token|secret|password|passwd|pwd)\b\s*[:=]?\s*(?:bearer\s+|token\s+)?[A-Za-z0-9_\-.:/+=]{6,}"),
     ("REDACTED_SECRET", r"\bsk-[A-Za-z0-9_\-]{12,}\b"),
@@ -25,14 +26,17 @@ PII = [
 SPANS = "array<struct<rank:int,less:int,st:int,en:int,tag:string>>"
 
 
-def normalise(slug: Column) -> Column:
-    """Lower case, runs of anything else than a-z and 0-9 as one underscore, none at the ends; null gives ''."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(slug, F.lit(""))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+def normalise(slug: Column, aliases: dict[str, str] | None = None) -> Column:
+    """Lower case, runs of anything else than a-z and 0-9 as one underscore, none at the ends; null gives ''. Then one step of aliases."""
+    out = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(slug, F.lit(""))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    if not aliases:
+        return out
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))[out], out)
 
 
-def tokens(slug: Column) -> Column:
+def tokens(slug: Column, aliases: dict[str, str] | None = None) -> Column:
     """The distinct tokens of a slug without stopwords, a final s dropped from those of over four letters."""
-    told = F.filter(F.split(normalise(slug), "_"), lambda t: (t != "") & ~t.isin(STOPWORDS))
+    told = F.filter(F.split(normalise(slug, aliases), "_"), lambda t: (t != "") & ~t.isin(STOPWORDS))
     return F.array_distinct(F.transform(told, lambda t: F.when((F.length(t) > 4) & t.endswith("s"), F.regexp_replace(t, "s$", "")).otherwise(t)))
 
 
@@ -83,3 +87,56 @@ def redacted(text: Column, spans: Column) -> Column:
 def pii_tags(spans: Column) -> Column:
     """Distinct tags in order of appearance, without secrets."""
     return F.array_distinct(F.transform(F.filter(spans, lambda s: s["tag"] != "REDACTED_SECRET"), lambda s: s["tag"]))
+
+
+# Names of entries that are never shown.
+SECRET_NAMES = "api_key apikey api-subscription-key api_subscription_key authorization auth password passwd secret token bearer".split()
+
+
+def redact_text(text: str) -> str:
+    """redacted() for one string on the driver."""
+    import re
+
+    found = [(rank, m.start() - m.end(), m.start(), m.end(), tag) for rank, (tag, p) in enumerate(PII) for m in re.finditer(p, text) if tag != "CARD" or luhn_holds(m[0])]
+    kept: list[tuple] = []
+    for *_, st, en, tag in sorted(found):
+        if all(en <= a or b <= st for a, b, _ in kept):
+            kept.append((st, en, tag))
+    out, at = [], 0
+    for st, en, tag in sorted(kept):
+        out += [text[at:st], f"[{tag}]"]
+        at = en
+    return "".join([*out, text[at:]])
+
+
+def luhn_holds(shown: str) -> bool:
+    digits = [int(c) for c in shown if c.isdigit()]
+    doubled = [sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(reversed(digits))]
+    return 13 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+
+
+def redact_mapping(value, drop: tuple[str, ...] = ()):
+    """A value as JSON has it, with every string redacted and entries of secret names replaced, at any depth."""
+    hidden = {*SECRET_NAMES, *(d.lower() for d in drop)}
+    if isinstance(value, dict):
+        return {k: "[REDACTED_SECRET]" if str(k).lower() in hidden else redact_mapping(v, drop) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [redact_mapping(v, drop) for v in value]
+    return redact_text(value) if isinstance(value, str) else value
+
+
+def redacted_json(column: Column, drop: tuple[str, ...] = ()) -> Column:
+    """redact_mapping() of JSON text, batch by batch, as its depth has no bound; what isn't JSON is redacted as text."""
+    import json
+
+    def one(text):
+        try:
+            return json.dumps(redact_mapping(json.loads(text), drop), ensure_ascii=False)
+        except ValueError:
+            return redact_text(text)
+
+    @F.pandas_udf("string")
+    def each(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action="ignore")
+
+    return each(column)

@@ -28,8 +28,10 @@ def _agent() -> Column:
     return F.filter(_turns(), lambda t: t["role"] == "agent")
 
 
-def _calls() -> Column:
-    return F.flatten(F.transform(_turns(), lambda t: F.coalesce(t["tool_calls"], F.array().cast("array<struct<name:string,ok:boolean>>"))))
+def calls() -> Column:
+    """(name, ok) of all tool calls, in order."""
+    own = lambda t: F.transform(t["tool_calls"], lambda c: F.struct(c["name"].alias("name"), c["ok"].alias("ok")))
+    return F.flatten(F.filter(F.transform(_turns(), own), lambda x: x.isNotNull()))
 
 
 def _first(cond: Callable[[Column], Column]) -> Column:
@@ -39,7 +41,7 @@ def _first(cond: Callable[[Column], Column]) -> Column:
 
 
 def tool_called(tool: Column) -> Column:
-    return F.exists(_calls(), lambda c: (c["name"] == tool) & c["ok"])
+    return F.exists(calls(), lambda c: (c["name"] == tool) & c["ok"])
 
 
 def verify_before_disclosure() -> Column:
@@ -90,7 +92,7 @@ def must_respond_in_caller_language() -> Column:
 
 
 def must_escalate() -> Column:
-    return F.exists(_calls(), lambda c: c["name"] == "transfer_to_agent") | F.coalesce(F.col("outcome") == "escalated", F.lit(False))
+    return F.exists(calls(), lambda c: c["name"] == "transfer_to_agent") | F.coalesce(F.col("outcome") == "escalated", F.lit(False))
 
 
 #: (severity, passes), by the type of an expectation with tool, values, value, pattern and patterns.
@@ -110,21 +112,52 @@ GRADERS: dict[str, tuple[str, Callable[[], Column]]] = {
 EXPECTATION = "scenario_id string, ord int, type string, tool string, values array<string>, value int, pattern string, patterns array<string>"
 
 
+assert len({*GRADERS}) == 11, "each type of expectation has a grader"
+
+
 def checks(conversations: DataFrame, expectations: DataFrame) -> DataFrame:
     """(id, scenario_id, ord, type, passed, severity) of each conversation with its scenario's expectations.
 
-    conversations: (id, scenario_id, turns, outcome). expectations come from declared files, hundreds of rows, and are broadcast.
+    conversations: (id, scenario_id, turns, outcome). expectations come from declared files.
     """
-    rows = conversations.join(F.broadcast(expectations), "scenario_id")
-    passed, severity = F.lit(None).cast("boolean"), F.lit(None).cast("string")
-    for kind, (level, passes) in GRADERS.items():
-        passed = F.when(F.col("type") == kind, passes()).otherwise(passed)
-        severity = F.when(F.col("type") == kind, level).otherwise(severity)
-    rows = rows.select("id", "scenario_id", "ord", "type", passed.alias("passed"), severity.alias("severity"))
-    return rows.withColumn("severity", F.when((F.col("type") == "max_turns") & ~F.col("passed"), "major").otherwise(F.col("severity")))
+    return graded(conversations, expectations).select("id", "scenario_id", F.explode("checks").alias("c")).select("id", "scenario_id", "c.*")
+
 
+def graded(conversations: DataFrame, expectations: DataFrame) -> DataFrame:
+    """(id, scenario_id, checks, passed, critical): a scenario's expectations are one row, and a conversation's checks an array in its own.
 
-def grades(all_checks: DataFrame) -> DataFrame:
+    So neither transcripts nor checks are shuffled or copied. Suites are files: scenarios are few,
+    and Spark broadcasts them if they are below its own threshold.
+    """
+    one = F.struct("ord", "type", "tool", "values", "value", "pattern", "patterns")
+    suite = expectations.groupBy("scenario_id").agg(F.array_sort(F.collect_list(one)).alias("expected"))
+    rows = conversations.join(suite, "scenario_id")
+    # what doesn't depend on an expectation's fields is computed once for a conversation
+    plain = {k: passes() for k, (_, passes) in GRADERS.items() if k not in ("tool_called", "outcome_in", "max_turns", "agent_must_ask_for", "must_not_say")}
+    rows = rows.withColumn("plain", F.struct(*(c.alias(k) for k, c in plain.items())))
+
+    def check(e: Column) -> Column:
+        by = {
+            "tool_called": tool_called(e["tool"]), "outcome_in": outcome_in(e["values"]), "max_turns": max_turns(e["value"]),
+            "agent_must_ask_for": agent_must_ask_for(e["pattern"]), "must_not_say": must_not_say(e["patterns"]),
+        }
+        passed, severity = F.lit(None).cast("boolean"), F.lit(None).cast("string")
+        for kind, (level, _) in GRADERS.items():
+            passed = F.when(e["type"] == kind, by[kind] if kind in by else F.col("plain")[kind]).otherwise(passed)
+            severity = F.when(e["type"] == kind, level).otherwise(severity)
+        severity = F.when((e["type"] == "max_turns") & ~passed, "major").otherwise(severity)
+        return F.struct(e["ord"].alias("ord"), e["type"].alias("type"), passed.alias("passed"), severity.alias("severity"))
+
+    rows = rows.select("id", "scenario_id", F.transform("expected", check).alias("checks"))
+    bad = F.exists("checks", lambda c: (c["severity"] == "critical") & ~c["passed"])
+    return rows.withColumns({"passed": F.forall("checks", lambda c: c["passed"]), "critical": bad})
+
+
+def grades(conversations: DataFrame, expectations: DataFrame) -> DataFrame:
     """(id, scenario_id, passed, critical)"""
-    bad = (F.col("severity") == "critical") & ~F.col("passed")
-    return all_checks.groupBy("id", "scenario_id").agg(F.bool_and("passed").alias("passed"), F.bool_or(bad).alias("critical"))
+    return graded(conversations, expectations).drop("checks")
+
+
+def last_scenario(scenarios: DataFrame) -> DataFrame:
+    """(situation, scenario_id): the scenario that grades a situation as labelled, the last one where several declare it."""
+    return scenarios.groupBy("situation").agg(F.max_by("scenario_id", "ord").alias("scenario_id"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import fisher_at_least, wilson
 
+# Calls a side needs, the level of significance, and the order in which verdicts are shown.
 LEAST, ALPHA = 8, 0.05
+VERDICTS = ["regression", "new", "disappeared", "unchanged", "improvement", "insufficient_data"]
 
 
 def compare(rows: DataFrame, baseline: str, candidate: str) -> DataFrame:
@@ -29,6 +31,19 @@ def compare(rows: DataFrame, baseline: str, candidate: str) -> DataFrame:
     return t.withColumns(ends).drop("p_worse", "p_better")
 
 
+def ordered(diffs: DataFrame) -> DataFrame:
+    """Regressions first, then by the size of the change."""
+    rank = F.array_position(F.array(*map(F.lit, VERDICTS)), F.col("verdict"))
+    return diffs.orderBy(rank, F.desc(F.abs(F.coalesce("delta", F.lit(0.0)))), "cluster")
+
+
+def overall(diffs: DataFrame) -> DataFrame:
+    """One row: each version's failures over all compared clusters, and how the rate moved."""
+    total = diffs.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_base", "f_base", "n_cand", "f_cand")), F.count_if(F.col("verdict") == "regression").alias("regressions"))
+    rate = lambda v: F.coalesce(F.try_divide(F.col(f"f_{v}"), F.col(f"n_{v}")), F.lit(0.0))
+    return total.withColumns({"rate_base": rate("base"), "rate_cand": rate("cand")}).withColumns({"delta": F.col("rate_cand") - F.col("rate_base"), "should_block": F.col("regressions") > 0})
+
+
 def agreement(pairs: DataFrame) -> DataFrame:
     """One row for booleans a and b: agreement and Cohen's kappa (1 where chance alone would agree)."""
     t = pairs.agg(F.count("*").alias("n"), F.avg(F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.0)).alias("agreement"), F.avg(F.col("a").cast("double")).alias("rate_a"), F.avg(F.col("b").cast("double")).alias("rate_b"))

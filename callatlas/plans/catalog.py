@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import costs, stats, text
 from ..operators import coverage as cov
+from ..operators import agreement as agr
 from ..operators import graders, versions
 from ..operators import labels as lab
 from ..sources.conversations import said, transcript, turn_count
@@ -64,8 +65,8 @@ def label_keywords(spark, sf_dir):
     return c.select("id", lab.first_match(F.col("t"), inputs.RULES).alias("situation"), F.array_join(lab.all_matches(F.col("t"), inputs.CONDITIONS), ",").alias("conditions"))
 
 
-def _checks(spark, sf_dir):
-    return graders.checks(inputs.conversations(spark, sf_dir), inputs.expectations(spark))
+def _graded(spark, sf_dir):
+    return inputs.conversations(spark, sf_dir), inputs.expectations(spark)
 
 
 CHECKS = f"""WITH {TURNS}, t AS (
@@ -97,19 +98,19 @@ checks AS (SELECT id, scenario_id, CAST(x.ord AS INT) AS ord, x.type AS type, x.
 
 @query(f"{CHECKS} SELECT * FROM checks")
 def grade_checks(spark, sf_dir):
-    return _checks(spark, sf_dir)
+    return graders.checks(*_graded(spark, sf_dir))
 
 
 @query(f"{CHECKS} SELECT id, scenario_id, bool_and(passed) AS passed, bool_or(severity = 'critical' AND NOT passed) AS critical FROM checks GROUP BY id, scenario_id")
 def grade_summary(spark, sf_dir):
-    return graders.grades(_checks(spark, sf_dir))
+    return graders.grades(*_graded(spark, sf_dir))
 
 
 @query(f"""{CHECKS}, g AS (SELECT id, scenario_id, bool_and(passed) AS passed FROM checks GROUP BY id, scenario_id)
   SELECT scenario_id, count(*) AS n, round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS pass_rate FROM g GROUP BY scenario_id""")
 def suite_pass_rate(spark, sf_dir):
     rate = F.round(F.avg(F.when(F.col("passed"), 1.0).otherwise(0.0)), 6)
-    return graders.grades(_checks(spark, sf_dir)).groupBy("scenario_id").agg(F.count("*").alias("n"), rate.alias("pass_rate"))
+    return graders.grades(*_graded(spark, sf_dir)).groupBy("scenario_id").agg(F.count("*").alias("n"), rate.alias("pass_rate"))
 
 
 USAGE = f"""WITH {TURNS}, c AS (SELECT conv_id AS id, count(*) FILTER (WHERE role <> 'system') AS n, coalesce(length(string_agg(text, ' ') FILTER (WHERE role = 'agent')), 0) AS a,
@@ -233,7 +234,7 @@ declared AS (SELECT * FROM (VALUES ('click', ['hardship']), ('view', ['hardship'
 seen AS (SELECT m.cluster, list_sort(coalesce(list(condition) FILTER (WHERE NOT condition LIKE 'compliance:%' AND n >= 0.25 * volume), [])) AS observed,
   list_sort(coalesce(list(condition) FILTER (WHERE condition LIKE 'compliance:%' AND n >= 2 AND n >= 0.15 * volume), [])) AS critical,
   list_sort(coalesce(list(condition) FILTER (WHERE condition LIKE 'compliance:%' AND NOT (n >= 2 AND n >= 0.15 * volume)), [])) AS suppressed FROM main m LEFT JOIN counts c USING (cluster) GROUP BY m.cluster),
-j AS (SELECT m.*, s.*, declared, list_filter(observed, lambda x: NOT list_contains(coalesce(declared, []), x)) AS missing FROM main m JOIN seen s USING (cluster) LEFT JOIN declared USING (kind)),
+j AS (SELECT m.*, s.*, declared, CASE WHEN declared IS NULL THEN [] ELSE list_filter(observed, lambda x: NOT list_contains(declared, x)) END AS missing FROM main m JOIN seen s USING (cluster) LEFT JOIN declared USING (kind)),
 cov AS (SELECT *, CASE WHEN declared IS NULL THEN 'uncovered' WHEN len(missing) > 0 OR len(critical) > 0 THEN 'partial' ELSE 'covered' END AS status,
   CASE WHEN len(critical) > 0 THEN 3.0 WHEN hits > 0.1 * volume THEN 2.0 ELSE 1.0 END AS weight, sum(volume) OVER () AS total FROM j)"""
 RANKED = f"{COVERAGE} SELECT cluster, volume, failures, status, array_to_string(missing, ',') AS missing, array_to_string(critical, ',') AS critical_flags, array_to_string(suppressed, ',') AS suppressed_flags, round(CASE WHEN status = 'covered' THEN 0 ELSE CAST(failures AS DOUBLE) / total * weight END, 6)::DOUBLE AS priority FROM cov"
@@ -297,8 +298,9 @@ def version_diff(spark, sf_dir):
     return d.select("cluster", "n_base", "f_base", "n_cand", "f_cand", "verdict", F.round("p", 5).alias("p"), *(F.round(c, 6).alias(c) for c in ("delta", "cand_low", "cand_high")))
 
 
-@query("""WITH t AS (SELECT count(*) AS n, avg(CASE WHEN (quality = 1) = (toxic = 1) THEN 1.0 ELSE 0.0 END) AS po, avg(quality::DOUBLE) AS a, avg(toxic::DOUBLE) AS b FROM labels)
-  SELECT n, round(po, 6)::DOUBLE AS agreement, round(CASE WHEN a * b + (1 - a) * (1 - b) >= 1 THEN 1 ELSE (po - a * b - (1 - a) * (1 - b)) / (1 - a * b - (1 - a) * (1 - b)) END, 6)::DOUBLE AS kappa, 'slight' AS reading FROM t""")
+@query("""WITH t AS (SELECT count(*) AS n, avg(CASE WHEN (quality = 1) = (toxic = 1) THEN 1.0 ELSE 0.0 END) AS po, avg(quality::DOUBLE) AS a, avg(toxic::DOUBLE) AS b FROM labels),
+  k AS (SELECT n, round(po, 6)::DOUBLE AS agreement, round(CASE WHEN a * b + (1 - a) * (1 - b) >= 1 THEN 1 ELSE (po - a * b - (1 - a) * (1 - b)) / (1 - a * b - (1 - a) * (1 - b)) END, 6)::DOUBLE AS kappa FROM t), r AS (SELECT n, agreement, kappa FROM k)
+  SELECT *, CASE WHEN kappa > 0.8 THEN 'almost perfect' WHEN kappa > 0.6 THEN 'substantial' WHEN kappa > 0.4 THEN 'moderate' WHEN kappa > 0.2 THEN 'fair' ELSE 'poor' END AS reading FROM r""")
 def kappa(spark, sf_dir):
     pairs = inputs.table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("a"), F.expr("toxic = 1").alias("b"))
     pairs = pairs.select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
@@ -316,3 +318,81 @@ def scenario_ids(spark, sf_dir):
     slugs = inputs.labels(spark, sf_dir).select(text.normalise(F.col("situation")).alias("slug")).distinct()
     number = F.conv(F.left(F.sha2("slug", 256), F.lit(6)), 16, 10).cast("int") % 10000
     return slugs.select("slug", F.concat(F.lit("GEN-"), F.lpad(number.cast("string"), 4, "0")).alias("scenario_id"))
+
+
+@query(f"""WITH {LABELS}, n AS (SELECT cluster, CASE WHEN id % 3 = 0 THEN 'slow' WHEN id % 3 = 1 THEN 'rude' ELSE 'lost' END || id % 4 AS mode, min(id) AS first FROM keyed WHERE failed GROUP BY ALL)
+  SELECT cluster, mode, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY first, mode) AS place FROM n) WHERE place <= 6""")
+def failure_modes_top(spark, sf_dir):
+    kind = F.when(F.col("id") % 3 == 0, "slow").when(F.col("id") % 3 == 1, "rude").otherwise("lost")
+    return cov.failure_modes(_clustered(spark, sf_dir).withColumn("mode", F.concat(kind, (F.col("id") % 4).cast("string"))))
+
+
+@query(f"WITH {LABELS} SELECT cluster, version, count(*) AS n, count(*) FILTER (WHERE failed) AS failed, round(sum(cost), 4)::DOUBLE AS cost FROM keyed GROUP BY cluster, version")
+def version_counts(spark, sf_dir):
+    return cov.version_counts(_clustered(spark, sf_dir)).withColumn("cost", F.round("cost", 4))
+
+
+@query(f"{COUNTS} SELECT cluster, condition, n, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, condition) AS place FROM counts) WHERE place <= 4")
+def top_conditions(spark, sf_dir):
+    return cov.top_conditions(cov.condition_counts(_clustered(spark, sf_dir)))
+
+
+@query(f"""WITH {LABELS}, c AS (SELECT cluster, count(*) AS volume FROM (SELECT CASE WHEN id % 1000 = 7 THEN 'rare' || id % 3000 ELSE cluster END AS cluster FROM keyed) GROUP BY cluster)
+  SELECT cluster, volume, volume < 5 AS tail FROM c""")
+def tail_split(spark, sf_dir):
+    rare = F.when(F.col("id") % 1000 == 7, F.concat(F.lit("rare"), (F.col("id") % 3000).cast("string"))).otherwise(F.col("cluster"))
+    main, tail = cov.main_and_tail(cov.rates(cov.rollup(_clustered(spark, sf_dir).withColumn("cluster", rare))), 5)
+    return main.select("cluster", "volume", F.lit(False).alias("tail")).unionByName(tail.select("cluster", "volume", F.lit(True).alias("tail")))
+
+
+@query(f"""WITH {LABELS}, c AS (SELECT cluster, count(*) AS volume, count(*) FILTER (WHERE failed) AS failures, sum(cost) AS cost FROM keyed GROUP BY cluster)
+  SELECT cluster, round(failures / volume, 6)::DOUBLE AS fail_rate, round(0.55, 6)::DOUBLE AS mean_confidence, round(cost * failures / volume, 4)::DOUBLE AS failed_cost FROM c""")
+def cluster_rates(spark, sf_dir):
+    c = cov.rates(cov.rollup(_clustered(spark, sf_dir)))
+    return c.select("cluster", F.round("fail_rate", 6).alias("fail_rate"), F.round("mean_confidence", 6).alias("mean_confidence"), F.round("failed_cost", 4).alias("failed_cost"))
+
+
+@query(f"""WITH {LABELS} SELECT count(*) FILTER (WHERE version = 'v2') AS n_base, count(*) FILTER (WHERE version = 'v2' AND failed) AS f_base, count(*) FILTER (WHERE version = 'v3') AS n_cand,
+  count(*) FILTER (WHERE version = 'v3' AND failed) AS f_cand,
+  round(count(*) FILTER (WHERE version = 'v3' AND failed) / count(*) FILTER (WHERE version = 'v3') - count(*) FILTER (WHERE version = 'v2' AND failed) / count(*) FILTER (WHERE version = 'v2'), 6)::DOUBLE AS delta FROM keyed""")
+def version_overall(spark, sf_dir):
+    o = versions.overall(versions.compare(_clustered(spark, sf_dir), "v2", "v3"))
+    return o.select("n_base", "f_base", "n_cand", "f_cand", F.round("delta", 6).alias("delta"))
+
+
+RATERS = """a AS (SELECT event_id AS id, event_type AS situation, value > 10 AS failed, event_id % 5 = 0 AS is_new FROM events WHERE event_id % 4 <> 1),
+b AS (SELECT event_id AS id, CASE WHEN event_id % 7 = 0 THEN 'other_' || event_id % 3 ELSE event_type END AS situation, value > 11 AS failed, event_id % 6 = 0 AS is_new FROM events WHERE event_id % 4 <> 2),
+j AS (SELECT id, a.situation AS sa, b.situation AS sb, a.failed AS fa, b.failed AS fb, a.is_new AS na, b.is_new AS nb FROM a JOIN b USING (id))"""
+
+
+def _raters(spark, sf_dir):
+    e, n = inputs.table(spark, sf_dir, "events"), F.col("event_id")
+    other = F.when(n % 7 == 0, F.concat(F.lit("other "), (n % 3).cast("string"))).otherwise(F.col("event_type"))
+    side = lambda s, most, new: e.select(n.alias("id"), s.alias("situation"), (F.col("value") > most).alias("failed"), (n % new == 0).alias("is_new"))
+    return agr.both(side(F.initcap("event_type"), 10, 5).filter("id % 4 <> 1"), side(other, 11, 6).filter("id % 4 <> 2"))
+
+
+@query(f"""WITH {RATERS}, k AS (SELECT count(*) AS n, avg((sa = sb)::INT) AS s, avg((fa = fb)::INT) AS po, avg(fa::INT) AS p, avg(fb::INT) AS q, avg(na::INT) AS na, avg(nb::INT) AS nb,
+  count(*) FILTER (WHERE sa <> sb AND fa = fb) AS situation_only, count(*) FILTER (WHERE sa = sb AND fa <> fb) AS failure_only, count(*) FILTER (WHERE sa <> sb AND fa <> fb) AS in_both FROM j)
+  SELECT n, round(s, 6)::DOUBLE AS situation_agreement, round(po, 6)::DOUBLE AS agreement, round((po - p * q - (1 - p) * (1 - q)) / (1 - p * q - (1 - p) * (1 - q)), 6)::DOUBLE AS kappa,
+    round(p, 6)::DOUBLE AS rate_a, round(q, 6)::DOUBLE AS rate_b, round(na, 6)::DOUBLE AS new_rate_a, round(nb, 6)::DOUBLE AS new_rate_b, situation_only, failure_only, in_both FROM k""")
+def agreement_report(spark, sf_dir):
+    r = agr.report(_raters(spark, sf_dir))
+    return r.select("n", *(F.round(c, 6).alias(c) for c in ("situation_agreement", "agreement", "kappa", "rate_a", "rate_b", "new_rate_a", "new_rate_b")), "situation_only", "failure_only", F.col("both").alias("in_both"))
+
+
+@query(f"WITH {RATERS} SELECT DISTINCT sb AS situation FROM j WHERE sb NOT IN (SELECT sa FROM j)")
+def only_in_second(spark, sf_dir):
+    return agr.only_in(_raters(spark, sf_dir), "b")
+
+
+@query(f"""WITH {TURNS}, t AS (SELECT *, (conv_id + turn) % 5 AS k, lag(lower(text)) OVER (PARTITION BY conv_id, role ORDER BY turn) AS prior FROM turn_v),
+c AS (SELECT conv_id AS id, lower(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = 'caller'), '')) AS t, coalesce(bool_or(role = 'agent' AND lower(text) = prior), false) AS looped,
+  coalesce(bool_or(k = 0 AND turn % 2 = 1), false) AS broke, any_value(conv_id % 7) AS o FROM t GROUP BY conv_id),
+l AS (SELECT *, CASE {' '.join(f"WHEN {_any(k)} THEN '{s}'" for s, k in inputs.RULES.items())} ELSE 'unclassified' END AS situation FROM c)
+SELECT id, situation, CASE situation WHEN 'unclassified' THEN 'Unclassified' WHEN 'billing' THEN 'Billing' WHEN 'delivery' THEN 'Delivery' WHEN 'account' THEN 'Account' ELSE 'General' END AS situation_label,
+  situation NOT IN ('billing', 'general') AS is_new, looped OR broke OR o IN (5, 6) AS failed,
+  CASE WHEN looped THEN 'the agent repeats a turn' WHEN broke THEN 'a tool call fails' WHEN o IN (5, 6) THEN 'the outcome is a failure of the agent' END AS mode, CASE situation WHEN 'unclassified' THEN 0.2 ELSE 0.55 END::DOUBLE AS confidence FROM l""")
+def label_record(spark, sf_dir):
+    made = lab.keyword_labels(inputs.conversations(spark, sf_dir), inputs.RULES, inputs.CONDITIONS, {}, ["billing", "general"])
+    return made.select("id", "situation", "situation_label", "is_new", "failed", "mode", "confidence")
