@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null doc_id where ids are compared: it sorts after every id.
 NO_ID = 2**63 - 1
-SHARD_LEAST, SHARD_MOST, SHARDS = 4 << 20, 32 << 20, 4096
+SHARD_LEAST, SHARD_MOST, SHARDS = 3 << 20, 8 << 20, 65_536
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +68,7 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 
 
 def n_shards(n_bytes: int, least: int) -> int:
-    """Shards of `least` bytes of text at first, growing to 32 MB once there are thousands of them."""
+    """Shards of `least` bytes of text at first, growing to 8 MB, which a worker can hold, once there are very many."""
     size = min(SHARD_MOST, max(least, n_bytes // SHARDS))
     return max(1, -(-n_bytes // size))
 
@@ -101,11 +101,14 @@ def sharded(docs: DataFrame, carry: tuple[str, ...] = (), size: int | None = Non
     return raw.mapInArrow(lambda batches: _packed(batches, columns), schema).repartition(parts, "shard")
 
 
-def unpacked(blobs) -> list[bytes]:
-    import zstandard
+def trim() -> None:
+    """Gives memory that Python has freed back to the system, where the C library can; workers live on and share a machine."""
+    import ctypes
+    import ctypes.util
 
-    get = zstandard.ZstdDecompressor().decompress
-    return [b"" if z is None else get(z) for z in blobs]
+    release = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+    if release:
+        release(0)
 
 
 def chunks(blobs, size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:

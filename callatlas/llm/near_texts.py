@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_run, ddl, id_or_last, keep, record, run_starts
+from .common import by_run, ddl, discard, id_or_last, keep, record, run_starts
 from .components import components
 from .grams import SIZE_2, Windows, mix, words
 from .simhash import near_pairs as near_fingerprints
@@ -35,9 +35,9 @@ from .simhash import wide_fingerprints
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, RADIUS = 128, 46
 #: For the order of shingles, which any sample gives right results with.
-SAMPLE, FREQUENT = 20_000, 500_000
+SAMPLE, FREQUENT = 20_000, 100_000
 #: Each round compares rows so far apart in their bucket; from the second on, also across parts.
-ROUNDS = ((1, 4), (4, 32), (32, 256), (256, 1 << 62))
+ROUNDS = ((1, 4), (4, 64), (64, 1 << 62))
 PART = 2048
 BROADCAST_ROWS = 500_000
 DESCRIBED = [("digest", "long")]
@@ -266,28 +266,28 @@ def check_pairs(batches):
 def representatives(docs: DataFrame, carry: tuple[str, ...], part: int = PART) -> DataFrame:
     """(doc_id, text, carried columns) of one row for each group of linked texts"""
     each = keep(describe(docs, carry))
-    first = F.min(F.struct("doc_id", "row_hash")).alias("first")
-    classes = keep(each.groupBy("digest").agg(first))
-
-    def rows_of(chosen: DataFrame, *columns: str) -> DataFrame:
-        """chosen: (digest, first), each digest once. One row of `each` for each."""
-        by = chosen.select("digest", "first.doc_id", "first.row_hash")
-        return each.select("digest", "doc_id", "row_hash", *columns).join(by, ["digest", "doc_id", "row_hash"]).dropDuplicates(["digest"])
-
-    texts = keep(rows_of(classes, "text").select("digest", "text"))
-    rows = keep(shared(keep(bucketed(texts, classes.count())), part))
+    classes = keep(each.groupBy("digest").agg(F.min(F.struct("doc_id", "row_hash")).alias("first")))
+    # all three keys, so that many copies of one text are spread; the same three tell repeated rows
+    keys = ["digest", "doc_id", "row_hash"]
+    texts = keep(each.join(classes.select("digest", "first.*"), keys).dropDuplicates(keys))
+    discard(each)
+    all_rows = keep(bucketed(texts, classes.count()))
+    rows = keep(shared(all_rows, part))
+    discard(all_rows)
     side = lambda c: texts.select(F.col("digest").alias(c), F.col("text").alias(f"text_{c}"))
     links, of = None, None
     for shifts in ROUNDS:
         pairs = keep(candidates(rows, of, shifts))
         if pairs.isEmpty():
+            discard(pairs)
             continue
         found = keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check_pairs, ddl(LINKS)))
+        discard(pairs)
         links = found if links is None else links.union(found)
         of = keep(components(links))
-    if of is None:
-        return rows_of(classes, "text", *carry).select("doc_id", "text", *carry)
-    group = F.coalesce("component", "digest").alias("group")
-    grouped = classes.join(of, classes.digest == of.id, "left").select(group, F.struct("first", "digest").alias("which"))
-    chosen = grouped.groupBy("group").agg(F.min("which").alias("which")).select("which.digest", "which.first")
-    return rows_of(chosen, "text", *carry).select("doc_id", "text", *carry)
+    discard(rows)
+    if of is not None:
+        group = F.coalesce("component", "digest").alias("group")
+        grouped = classes.join(of, classes.digest == of.id, "left").select(group, F.struct("first", "digest").alias("which"))
+        texts = texts.join(grouped.groupBy("group").agg(F.min("which").alias("which")).select("which.digest"), "digest", "left_semi")
+    return texts.select("doc_id", "text", *carry)

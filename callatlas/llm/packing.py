@@ -24,14 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ddl, keep, load, record
+from .common import ddl, keep, load, record, trim
 from .grams import BLANK, joined, span_hashes
 
 LENGTH = 2048
 GROUP, TURNS = 8192, 40
 PIECES = [("doc_id", "long"), ("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")]
 #: A worker forgets what it has learned once it knows so many different units.
-CACHE = 2_000_000
+CACHE = 800_000
 
 
 def vocabulary() -> str:
@@ -165,6 +165,7 @@ def cut_pieces(batches, path: str, length: int):
                     out.append((doc_id, piece, start, len(part_of) // 4, zlib.crc32(part_of)))
             at = end
             yield record(PIECES, *map(list, zip(*out, strict=True)))
+    trim()
 
 
 def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, by_run, chunks, ddl, discard, keep, load, record, run_starts, sharded
+from .common import NO_ID, by_run, chunks, ddl, discard, keep, load, record, run_starts, sharded, trim
 from .grams import BLANK, SIZE_1, Segments, Windows, digests, mix, words
 
 PATHS = [("h", "long"), ("sh", "long"), ("shard", "int")]
@@ -109,7 +109,7 @@ def shard_paths(batches, window: int, gram: int):
             if len(r.s.h):
                 held.append((shard[r.row + r.s.text], r.s.h, r.digests(slice(None))))
                 total += len(r.s.h)
-        if total > 3_000_000:
+        if total > 1_500_000:
             yield flush()
             held, total = [], 0
     if held:
@@ -167,6 +167,7 @@ def shard_edges(docs: pd.DataFrame, found: pd.DataFrame, window: int, gram: int)
     if nodes:
         k, w, lo, before, after = (np.concatenate(x) for x in zip(*nodes, strict=True))
         out.append(pd.DataFrame({"kind": 0, "k": k.view(np.int64), "w": w.view(np.int64), "shard": shard, "lo": lo, "before": before.view(np.int64), "after": after.view(np.int64)}))
+    trim()
     return pd.concat(out) if out else pd.DataFrame({n: np.zeros(0, np.int64) for n, _ in EDGES})
 
 
@@ -269,6 +270,8 @@ def cut_words(docs: pd.DataFrame, found: pd.DataFrame, window: int, gram: int, c
                 stay = ~gone[end[i] - n_words[r.row + i] : end[i]]
                 kept.append(b" ".join(compress(t.split(), stay.tolist())))
     out = {"doc_id": pd.Series(ids).astype("Int64").mask(ids == NO_ID), **{c: docs[c] for c in carry}, "n_words": n_words, "n_removed": n_removed, "kept": kept}
+    del every, spans, parts, edges
+    trim()
     return pd.DataFrame(out)
 
 
