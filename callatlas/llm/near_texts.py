@@ -37,7 +37,7 @@ BITS, RADIUS = 128, 46
 #: For the order of shingles, which any sample gives right results with.
 SAMPLE, FREQUENT = 20_000, 100_000
 #: Each round compares rows so far apart in their bucket; from the second on, also across parts.
-ROUNDS = ((1, 4), (4, 64), (64, 1 << 62))
+ROUNDS = ((1, 2), (2, 6), (6, 48), (48, 1 << 62))
 PART = 2048
 BROADCAST_ROWS = 500_000
 DESCRIBED = [("digest", "long")]
