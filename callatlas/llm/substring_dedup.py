@@ -98,7 +98,11 @@ def shard_paths(batches, window: int, gram: int):
     held, total = [], 0
 
     def flush():
-        shard, h, sh = first_of_each(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        shard, h, sh = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((sh, h, shard))
+        shard, h, sh = shard[order], h[order], sh[order]
+        at = run_starts(shard, h, sh)
+        shard, h, sh = shard[at], h[at], sh[at]
         at = run_starts(shard, h)
         one = np.diff(np.append(at, len(h))) == 1
         return record(PATHS, h[at], np.where(one, sh[at], np.uint64(0)), shard[at])
