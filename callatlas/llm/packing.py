@@ -5,7 +5,7 @@ dealt at random to groups of about GROUP, and each group is packed by itself: a
 where the sum, over the gaps that open sequences have left, of the squared number of
 sequences with that gap becomes smallest. Sequences that a group leaves open go on: their
 pieces are dealt to fewer groups and packed again, until one group is left or a turn fills
-less than half. No task's work grows with the input, and the last groups alone leave gaps.
+less than a tenth. No task's work grows with the input, and the last groups alone leave gaps.
 
 Defined results: a null text is empty and so is one id 0. Rows with equal or null doc_ids
 are packed each for itself. Very long texts are tokenized whole; pieces of equal length are
@@ -237,7 +237,7 @@ def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH, size:
         groups = max(1, -(-n // size))
         group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length", F.lit(turn)), F.lit(groups)).cast("long")
         placed = todo.withColumn("group", group).groupBy("group").applyInPandas(packer(length, turn), schema)
-        if groups == 1 or turn == TURNS - 1 or (before is not None and n > before // 2):
+        if groups == 1 or turn == TURNS - 1 or (before is not None and 10 * n > 9 * before):
             done.append(placed.drop("gap"))
             break
         placed, before = keep(placed), n

@@ -6,7 +6,9 @@ return the columns of documents; other columns of the input pass through unchang
 
 Defined results: a null text fails the quality rules. Rows whose
 texts have the same shingles are copies; one stays. A document whose words all go in substring dedup goes.
-n_chars follows the text where a stage changes it. An empty table gives empty tables.
+Of copies the row with the smallest doc_id stays, of rows that share it that with the smallest
+hash. n_chars follows the text where a stage changes it. Very long texts are read whole. An
+empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -74,7 +76,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: SQL can't express SimHash links or sum-of-squares placement; a test holds run() against brute force.
+#: SQL can't express SimHash links or sum-of-squares placement. Tests hold the first three stages' decisions and the placement against brute force.
 ORACLE_SQL = None
 
 

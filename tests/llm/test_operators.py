@@ -23,7 +23,7 @@ def made_documents():
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(300)] + ["Über", "naïve", "#tag", "x|y", "🙂"]
     passage = " ".join(rng.choices(vocabulary, k=60))
-    texts = [None, "", "   \n\t ", "one", "a b c", "x " * 40, "under the MIT license, all", "licensed under the GNU General Public License version 3 now"]
+    texts = [None, "", "   \n\t ", "<|endoftext|>One <|ENDOFTEXT|> it's", "one", "a b c", "x " * 40, "under the MIT license, all", "licensed under the GNU General Public License version 3 now"]
     for i in range(40):
         t = " ".join(rng.choices(vocabulary, k=rng.randint(5, 90)))
         texts.append(f"{t}\n{passage} {t[::-1]}" if i % 5 == 0 else t)
@@ -129,7 +129,6 @@ def test_op4(spark, sf, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     expect = []
     for d in docs:
         ids = [*t.encode(d["text"] or "", add_special_tokens=False).ids, 0]
@@ -226,6 +225,73 @@ def test_pipeline(spark, sf, docs):
     assert pipeline.STAGES[-1][1](spark, now, sf[0]).count() > 0
 
 
+def test_pipeline_places_all_tokens(spark, sf):
+    import corpus_pipeline as pipeline
+
+    rows = pipeline.run(spark, sf[0]).collect()
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for p in places.values():
+        ends = [0, *(o + n for o, n in sorted(p))]
+        assert [o for o, _ in sorted(p)] == ends[:-1] and ends[-1] <= 2048
+    assert len(places) <= -(-sum(r.length for r in rows) // 2048) + 2
+
+
+@pytest.mark.parametrize("size", [300, 1000])
+def test_packing_carries_open_sequences_on(spark, size):
+    from callatlas.llm.packing import packed
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packed(docs, size=size).select("length", "sequence_id").collect()
+    assert len({r.sequence_id for r in rows}) <= 1.012 * sum(r.length for r in rows) / 2048 + 1
+
+
+@pytest.mark.parametrize("bits", [64, 4])
+def test_op3_in_shards_with_colliding_words(spark, monkeypatch, bits):
+    """Hashes of words with few bits collide all the time; the source words decide."""
+    from callatlas.llm import grams
+    from callatlas.llm.substring_dedup import remove_repeated_words
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(2000)]
+    shared = [rng.choices(words, k=rng.randint(13, 90)) for _ in range(12)]
+    texts = [[*rng.choices(words, k=rng.randint(0, 40)), *rng.choice(shared)[rng.randint(0, 5) :], *rng.choices(words, k=rng.randint(0, 40)), *rng.choice(shared)] for _ in range(150)]
+    first = {}
+    for d, w in enumerate(texts):
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), d)
+    gone = [len({j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for j in range(i, i + 13)}) for d, w in enumerate(texts)]
+    real = grams.span_hashes
+    monkeypatch.setattr(grams, "span_hashes", lambda *a: real(*a) & np.uint64((1 << bits) - 1))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in remove_repeated_words(docs, size=9000).select("doc_id", "n_removed").collect()}
+    assert sum(gone) > 1000 and got == dict(enumerate(gone))
+
+
+def test_hot_buckets_of_simhash(spark, sf, docs):
+    from callatlas.llm.common import load
+    from callatlas.llm.simhash import near_duplicates
+
+    many = load(spark, sf[0], "documents")
+    show = lambda df: sorted(map(repr, df.collect()))
+    assert show(near_duplicates(many, radius=12, chunk=2)) == show(near_duplicates(many, radius=12))
+
+
+def test_ledger_and_ablations(spark, sf):
+    from callatlas.llm import quality_rules as Q
+    from callatlas.llm.common import load
+
+    entries = Q.ledger(load(spark, sf[0], "documents")).collect()
+    got = {r.rule: (r.n_failed, r.n_failed_alone) for r in Q.ablations(Q.ledger(load(spark, sf[0], "documents"))).collect()}
+    mask = Q.POLICIES[Q.LATEST]
+    assert got == {n: (sum(bool(e.failed & b) for e in entries), sum(e.failed & mask == b for e in entries)) or None for n, b in Q.BIT.items() if b & mask and any(e.failed & mask for e in entries)}
+    thue = "a"
+    while len(thue) < 1024:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    assert Q.measured([f"{thue}\n{thue.translate(str.maketrans('ab', 'ba'))}".encode()])[4] == 0
+
+
 def shingled(text):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
@@ -271,5 +337,7 @@ def test_empty_tables(spark, tmp_path):
     pq.write_table(pa.Table.from_pylist([], SCHEMA), f"{at}/documents.parquet")
     for name in ("pages", "embeddings"):
         pq.write_table(pq.read_table(f"/root/testdata/sf0.001/{name}.parquet").slice(0, 0), f"{at}/{name}.parquet")
-    for name, f in queries.QUERIES.items():
+    import corpus_pipeline
+
+    for name, f in (queries.QUERIES | corpus_pipeline.QUERIES).items():
         assert f(spark, at).count() == 0, name
